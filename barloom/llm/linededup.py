@@ -17,6 +17,8 @@ from barloom.llm.work import Workspace, session_of
 BLOCKS = 16
 #: Shorter lines are compared exactly: in a few characters, one edit is a different line.
 MIN_NEAR_CHARS = 16
+#: Lines that share a half with another, 40 bytes each, are broadcast to the texts up to this many; beyond it, texts are shuffled to them.
+BROADCAST_LINES = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def dropped_lines(docs: DataFrame, ws: Workspace, min_near_chars: int = MIN_NEAR
     coarse = keyed.join(_shared(keyed, "key"), "key", "left_semi").select("h1", "h2").distinct()
     coarse = ws.stash(coarse.join(first.select("h1", "h2", "at"), ["h1", "h2"]).select("h1", "h2", "at"))
     fine = (
-        lines.join(coarse, ["h1", "h2"])
+        lines.join(F.broadcast(coarse) if coarse.count() <= BROADCAST_LINES else coarse, ["h1", "h2"])
         .filter(F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.pos") == F.col("pos")))
         .dropDuplicates(["h1", "h2"])
         .select("h1", "h2", "at", "line", n.alias("n"))
