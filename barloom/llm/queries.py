@@ -7,10 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.brown import class_model_scores
+from barloom.llm.chat import format_turns, masked_text, read_back, turns_of
 from barloom.llm.decontaminate import contamination
+from barloom.llm.langid import language_of
 from barloom.llm.linededup import dedup_lines
 from barloom.llm.neardup import near_duplicates
 from barloom.llm.packing import pack
+from barloom.llm.pii import find_pii
+from barloom.llm.quality import quality_scores
+from barloom.llm.topk import top_k
 
 #: Folder of the public vocabulary files, the same on every machine.
 TOKENIZERS = os.environ.get("BARLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -39,11 +45,52 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op7_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Conversation -1: control strings of a template inside texts.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(CONTROL_TEXT).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("x"))
+    turns = turns_of(table(spark, sf_dir, "conversations")).unionByName(extra.select("conv_id", "x.*"))
+    out = format_turns(turns).select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_top_k": op3_top_k,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_class_model": op7_class_model,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
+    "op10_chat": op10_chat,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,4 +134,17 @@ SELECT d.doc_id, CAST(CASE WHEN any_value(d.text) IS NULL THEN 0 ELSE count(*) E
   CAST(CASE WHEN any_value(d.text) IS NULL THEN 0 ELSE count(*) FILTER (keep) END AS BIGINT) n_kept,
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (keep), '')) text_sha256
 FROM k JOIN documents d USING (doc_id) GROUP BY d.doc_id""",
+    "op3_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS "rank", vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) r FROM s) WHERE r <= 5""",
+    "op10_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') "text" FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length("text") + length(role) + length('<|turn|><|text|><|end|>') + list_sum(list_transform(['\', '<|', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+  lambda c: (length("text") - length(replace("text", c, '')) + length(role) - length(replace(role, c, ''))) // length(c))) n FROM t)
+SELECT conv_id, CAST(count(*) AS BIGINT) n_turns, sha256(string_agg(role || chr(10) || "text" || chr(10), '' ORDER BY turn, role, "text")) turns_sha256,
+  CAST(coalesce(sum(length("text")) FILTER (role = 'assistant'), 0) AS BIGINT) loss_chars, sha256(coalesce(string_agg("text", '' ORDER BY turn, role, "text") FILTER (role = 'assistant'), '')) loss_sha256,
+  CAST(sum(n) AS BIGINT) formatted_chars
+FROM e GROUP BY conv_id""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.decontaminate import contamination
+from barloom.llm.langid import drop_undetermined
 from barloom.llm.linededup import dedup_lines
 from barloom.llm.neardup import near_duplicates
 from barloom.llm.packing import pack
@@ -13,6 +14,11 @@ from barloom.llm.queries import WORD_BPE, table
 from barloom.llm.work import Workspace, session_of
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, having no letter, go."""
+    return drop_undetermined(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier, alike or within one edit, go; a document left with no line that isn't blank goes too."""
     out = dedup_lines(docs)
@@ -35,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, WORD_BPE)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
