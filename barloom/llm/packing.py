@@ -8,44 +8,55 @@ of given lengths at given offsets. Every piece then finds its place from its ran
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.work import Workspace, map_batches, session_of
+from barloom.llm.work import Workspace, map_batches, session_of, worker_cache
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker remembers.
+CACHE_WORDS = 700_000
 #: Pieces of one length that one task ranks, about.
 RANKED = 500_000
 
 
-class _Ids(dict):
-    """Chunk without white space -> its ids as bytes. Filled a batch at a time by learn()."""
+class _Ids:
+    """Ids of texts, by chunks without white space, whose ids are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: In such texts the tokenizer's normaliser only lower-cases and splits at white space, so chunks stand alone.
-        self.plain = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xadĀ-\U0010ffff]")
+        # Bytes of Latin-1 that may be normalised or split otherwise than by lower-casing and white space.
+        self.odd = bytes([*range(9), 11, 12, *range(14, 32), *range(127, 161), 173])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def plain(self, text: str) -> bool:
+        """Whether the tokenizer's normaliser only lower-cases the text and splits it at white space, so that chunks stand alone."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return len(raw.translate(None, self.odd)) == len(raw) and not any(s in text for s in self.special)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if self.plain.search(t) or any(s in t for s in self.special) else t.lower().split() for t in texts]
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = list({c for cs in chunks if cs is not None for c in cs if c not in self})
+        known = self.known
+        chunks = [t.lower().split() if self.plain(t) else None for t in texts]
+        new = list(set().union(*[c for c in chunks if c is not None]).difference(known))
         for k in range(0, len(new), 4096):
-            self.update(zip(new[k : k + 4096], self.ids(new[k : k + 4096])))
+            known.update(zip(new[k : k + 4096], self.ids(new[k : k + 4096])))
         whole = dict(zip([i for i, c in enumerate(chunks) if c is None], self.ids([t for t, c in zip(texts, chunks) if c is None])))
-        return [whole[i] if c is None else b"".join(map(self.__getitem__, c)) for i, c in enumerate(chunks)]
+        get = known.__getitem__
+        out = [whole[i] if c is None else b"".join(map(get, c)) for i, c in enumerate(chunks)]
+        if len(known) > CACHE_WORDS:  # what came first is mostly what is frequent; it stays
+            for c in new:
+                del known[c]
+        return out
 
 
 def _pieces(path: str, capacity: int):
@@ -53,7 +64,7 @@ def _pieces(path: str, capacity: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end, step = _Ids(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        ids, end, step = worker_cache(f"ids:{path}", lambda: _Ids(path)), np.array([END_ID], "<u4").tobytes(), 4 * capacity
 
         def run(doc_ids: list, texts: list) -> tuple:
             out = []

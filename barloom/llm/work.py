@@ -82,3 +82,14 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, shape)], schema=shape)
 
     return df.mapInArrow(run, schema)
+
+
+def worker_cache(name: str, make):
+    """What make() built first in this Python process: later tasks of the same worker go on with it."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_barloom_worker", types.ModuleType("_barloom_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
