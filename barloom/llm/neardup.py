@@ -5,10 +5,11 @@ Each shingle set gets two small collections, A and B, of BANDS keys of ROWS min-
 independent tables would need. At a similarity of 0.75 a pair meets in at least one table with probability
 (1 - (1 - 0.75**ROWS)**BANDS)**2 = 0.9999.
 
-Equal sets are merged first. In each table key, members are compared with the key's smallest member only (a star, so no
+Equal sets are merged first. In each table key, members are compared with one hub only (a star, so no
 group is expanded into pairs). What a star can't decide is settled exactly: members outside the component of the hub are
-compared with the other members, except where the triangle inequality of the Jaccard distance rules a link out.
-Every link is confirmed on full shingle sets.
+compared with the other members, except where a bound rules a link out: the triangle inequality of the Jaccard distance, or
+shingles that no other set in question has, which no intersection can hold. The hub is the member that shares most keys, so
+that of an original and its copies the original is the hub. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -90,12 +91,16 @@ def _jaccard():
     return run
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of wanted(node): the text of one document that has the node's set."""
+    at = nodes.select("node", "doc_id", "text_key").join(wanted, "node", "left_semi")
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return text.join(at, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(x, y, both, any) of pairs(x, y) of nodes: sizes of the intersection and the union of their full sets."""
-    at = nodes.select("node", "doc_id", "text_key")
-    text = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    wanted = pairs.select(F.col("y").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct().join(at, "node")
-    texts = text.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
+    texts = _texts(pairs.select(F.col("y").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct(), nodes, docs)
     both = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("text_y")), "y")
     both = both.join(texts.select(F.col("node").alias("x"), F.col("text").alias("text_x")), "x")
     return map_batches(both.select("x", "y", "text_x", "text_y"), _jaccard, "x long, y long, both long, any long")
@@ -118,19 +123,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def shared(side: str) -> DataFrame:
         keyed = nodes.select("node", F.posexplode(side).alias("i", "k"))
-        many = keyed.groupBy("i", "k").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("i", "k")
-        return keyed.join(many, ["i", "k"], "left_semi").groupBy("node").agg(F.collect_list(F.struct("i", "k")).alias(side))
+        many = keyed.groupBy("i", "k").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+        return keyed.join(many, ["i", "k"]).groupBy("node").agg(F.collect_list(F.struct("i", "k")).alias(side), F.sum("many").alias(f"{side}_degree"))
 
-    table = shared("a").join(shared("b"), "node").join(nodes.select("node", "n_shingles"), "node")
-    table = ws.stash(table.select("node", "n_shingles", F.explode("a").alias("p"), "b").select("node", "n_shingles", "p", F.explode("b").alias("q")).select("node", "n_shingles", F.xxhash64("p.i", "p.k", "q.i", "q.k").alias("key")))
-    hubs = table.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    table = shared("a").join(shared("b"), "node").join(nodes.select("node", "n_shingles"), "node").withColumn("order", -(F.col("a_degree") + F.col("b_degree")))
+    own = ("node", "order", "n_shingles")
+    table = ws.stash(table.select(*own, F.explode("a").alias("p"), "b").select(*own, "p", F.explode("b").alias("q")).select(*own, F.xxhash64("p.i", "p.k", "q.i", "q.k").alias("key")))
+    hubs = table.groupBy("key").agg(F.min(F.struct("order", "node", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     members = table.join(hubs, "key").select("key", "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
     fits = lambda m, n: PERCENT_OF * F.least(m, n) >= PERCENT * F.greatest(m, n)
     stars = members.filter("node <> hub").filter(fits(F.col("n_shingles"), F.col("hub_n"))).select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
     tested = ws.stash(_verified(ws.stash(stars), nodes, docs))
     linked = tested.filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
     comps = connected_components(linked, ws)
-    more = ws.stash(_undecided(members, tested, comps))
+    more = ws.stash(_undecided(members, tested, comps, nodes, docs, ws))
     again = _verified(more, nodes, docs).filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
     owner = full.select("doc_id", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"])
@@ -145,18 +151,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _undecided(members: DataFrame, tested: DataFrame, comps: DataFrame) -> DataFrame:
-    """(x, y), x < y: pairs that meet in a table key, lie in different components, and that no distance to their hub rules out."""
+def _shingles():
+    cache = WordHashes()
+
+    def run(nodes: list, texts: list) -> tuple:
+        sets = [shingle_set(hashes_of(words_of(t), cache), SHINGLE) for t in texts]
+        return np.repeat(np.array(nodes, np.int64), [len(s) for s in sets]), np.concatenate([np.empty(0, _U), *sets]).view(np.int64)
+
+    return run
+
+
+def _undecided(members: DataFrame, tested: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
+    """(x, y), x < y: pairs that meet in a table key, lie in different components, and that no bound rules out."""
     comp = lambda as_: comps.select(F.col("node").alias(as_), F.col("comp").alias(f"{as_}_comp"))
     m = members.join(comp("node"), "node", "left").join(comp("hub"), "hub", "left")
     m = m.withColumn("c", F.coalesce("node_comp", "node")).withColumn("outside", F.col("c") != F.coalesce("hub_comp", "hub"))
-    open_keys = m.groupBy("key").agg(F.max("outside").alias("outside"), F.count(F.lit(1)).alias("many")).filter("outside and many > 2").select("key")
-    dist = tested.select(F.col("x").alias("hub"), F.col("y").alias("node"), (1 - F.col("both") / F.col("any")).alias("far"))
-    m = m.join(open_keys, "key", "left_semi").filter("node <> hub").join(dist, ["hub", "node"], "left").select("key", "node", "n_shingles", "c", "far", "outside")
-    a, b = m.filter("outside").alias("a"), m.alias("b")
+    open_keys = m.groupBy("key").agg(F.max("outside").alias("outside"), F.count(F.lit(1)).alias("many"), F.min("n_shingles").alias("least")).filter("outside and many > 2").select("key", "least")
+    dist = tested.select(F.col("x").alias("hub"), F.col("y").alias("node"), (1 - F.col("both") / F.col("any")).alias("far"), "both")
+    m = m.join(open_keys, "key")
+    asked = ws.stash(m.select("node").distinct())
+    m = m.filter("node <> hub").join(dist, ["hub", "node"], "left").withColumn("far_least", F.coalesce("far", 1 - F.least("n_shingles", "hub_n") / F.greatest("n_shingles", "hub_n")))
+    m = ws.stash(m.select("key", "node", "n_shingles", "c", "far", "far_least", "outside", "least", "both", "hub_n"))
+    # Shingles that only one of the sets in question has: they count in a union, never in an intersection.
+    found = map_batches(_texts(asked, nodes, docs), _shingles, "node long, shingle long")
+    alone = found.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("many")).filter("many = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    alone = ws.stash(alone)
+    m = m.join(alone, "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    # Of what may be common, the part inside the hub's set and the part outside; single shingles aren't in the hub's set.
+    m = m.withColumn("within", F.coalesce("both", F.least("common", "hub_n"))).withColumn("beyond", F.coalesce(F.col("common") - F.col("both"), F.col("common")))
+    can = lambda both, n, other: PERCENT_OF * both >= PERCENT * (n + other - both)
+    a = m.filter("outside").filter(can(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))).alias("a")
+    b = m.alias("b")
     limit = 1 - PERCENT / PERCENT_OF + 1e-9
-    fits = PERCENT_OF * F.least("a.n_shingles", "b.n_shingles") >= PERCENT * F.greatest("a.n_shingles", "b.n_shingles")
-    near = F.coalesce(F.abs(F.col("a.far") - F.col("b.far")) <= limit, F.lit(True))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & fits & near)
+    near = (F.coalesce(F.abs(F.col("a.far") - F.col("b.far")), F.lit(0.0)) <= limit) & (F.coalesce(F.col("a.far_least") - F.col("b.far"), F.lit(0.0)) <= limit) & (F.coalesce(F.col("b.far_least") - F.col("a.far"), F.lit(0.0)) <= limit)
+    both = F.least(F.least("a.common", "b.common"), F.least("a.within", "b.within") + F.least("a.beyond", "b.beyond"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & can(both, F.col("a.n_shingles"), F.col("b.n_shingles")) & near)
     pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-    return pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    return pairs.join(tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
