@@ -199,8 +199,9 @@ def class_model_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS)
     core_n[: len(top)] = [r.n for r in top]
     core_n[CORE] = size.ends
     many = CORE + ENDINGS + 1
-    pairs = map_batches(train, _count_pairs(core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    pair, n = pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
+    pairs = map_batches(train, _count_pairs(core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = pairs["pair"].to_numpy(), pairs["n"].to_numpy()
+    del pairs
     order = np.argsort(pair)
     pair, n = pair[order], n[order]
     cls = exchange(pair, n)
@@ -223,8 +224,9 @@ def class_model_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS)
     small = size.words <= broadcast_words
     vocab = None
     if small:
-        arrow = counts.toPandas()
-        words, word_n = arrow["word"].to_numpy(np.int64), arrow["n"].to_numpy(np.int64)
+        arrow = counts.toArrow()
+        words, word_n = arrow["word"].to_numpy(), arrow["n"].to_numpy()
+        del arrow
         order = np.argsort(words)
         vocab = spark.sparkContext.broadcast((words[order], word_n[order].astype(np.int32 if word_n.max(initial=0) < 2**31 else np.int64)))
     made = map_batches(docs.select("doc_id", "text", out), _score(core, cls, log_pair, np.log10(core_n + 0.5), vocab), "doc_id long, held_out boolean, n_tokens long, n_known long, pair_sum double, word_sum double, rare array<long>")
