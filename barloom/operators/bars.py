@@ -124,9 +124,9 @@ INDEX_FIELDS = ("index_close", "index_low", "index_high")
 
 def index_observations(bars: DataFrame, off_symbol: int | None = 7, off_every: int = 97) -> DataFrame:
     """Each symbol's own copy of the day's index: averages over all symbols. One symbol's copy is off on some days."""
-    day = bars.groupBy("d").agg(
-        F.round(F.avg("adj_last_price"), 4).alias("index_close"), F.round(F.avg("adj_low"), 4).alias("index_low"), F.round(F.avg("adj_high"), 4).alias("index_high")
-    )
+    # Prices have four decimals, so many averages lie right between two of them; an odd shift settles these alike everywhere.
+    four = lambda c: F.floor(F.avg(c) * 10000 + 0.3137).cast("double") / 10000
+    day = bars.groupBy("d").agg(four("adj_last_price").alias("index_close"), four("adj_low").alias("index_low"), four("adj_high").alias("index_high"))
     out = bars.select("symbol", "d").join(day, "d")
     if off_symbol is not None:
         out = out.withColumn("index_close", F.when((F.col("symbol") == off_symbol) & (F.dayofyear("d") % off_every == 0), F.col("index_close") + 1.0).otherwise(F.col("index_close")))

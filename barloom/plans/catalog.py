@@ -39,15 +39,15 @@ def query(oracle: str | None = None):
 # --- bars -------------------------------------------------------------------------------------------------------------------------
 
 
-@query(Q.rnd(Q.with_(Q.BARS) + "SELECT symbol, d, pos, o AS adj_open, h AS adj_high, l AS adj_low, c AS adj_last_price, vol, tv AS traded_value FROM bars", adj_open=6, adj_high=6, adj_low=6, adj_last_price=6, traded_value=2))
+@query(Q.with_(Q.BARS) + "SELECT symbol, d, pos, o AS adj_open, h AS adj_high, l AS adj_low, c AS adj_last_price, vol, tv AS traded_value FROM bars")
 def bars_canonical(spark, sf):
-    return longs(rounded(V.bars(spark, sf), traded_value=2))
+    return longs(V.bars(spark, sf))
 
 
 @query(r"""WITH t AS (SELECT l_orderkey k, l_linenumber n, CASE WHEN l_linenumber % 3 = 0 THEN strftime(l_shipdate, '%Y%m%d') WHEN l_linenumber % 3 = 1 THEN ' ' || strftime(l_shipdate, '%Y-%m-%d') || ' ' ELSE 'bad' END txt,
   CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END num, l_shipdate FROM lineitem)
 SELECT CAST(count(*) AS BIGINT) "rows", CAST(count(CASE WHEN n % 3 < 2 THEN 1 END) AS BIGINT) parsed_dates, min(CASE WHEN n % 3 < 2 THEN CAST(l_shipdate AS DATE) END) first_date, max(CASE WHEN n % 3 < 2 THEN CAST(l_shipdate AS DATE) END) last_date,
-  CAST(count(CASE WHEN num <> 'n/a' THEN 1 END) AS BIGINT) parsed_numbers, CAST(sum(CASE WHEN num <> 'n/a' THEN CAST(num AS BIGINT) END) AS DOUBLE) number_sum, CAST(count(DISTINCT CASE WHEN n % 3 < 2 THEN CAST(l_shipdate AS DATE) END) AS BIGINT) days FROM t""")
+  CAST(count(CASE WHEN num <> 'n/a' THEN 1 END) AS BIGINT) parsed_numbers, CAST(sum(CASE WHEN num <> 'n/a' THEN CAST(num AS BIGINT) END) AS DOUBLE) number_sum, CAST(count(DISTINCT CASE WHEN n % 3 < 2 THEN CAST(l_shipdate AS DATE) END) AS BIGINT) "days" FROM t""")
 def parsing(spark, sf):
     n, day = F.col("l_linenumber"), F.col("l_shipdate")
     text = F.when(n % 3 == 0, F.date_format(day, "yyyyMMdd")).when(n % 3 == 1, F.concat(F.lit(" "), F.date_format(day, "yyyy-MM-dd"), F.lit(" "))).otherwise("bad")
@@ -98,9 +98,9 @@ def market_index_canonical(spark, sf):
     return rounded(V.index(spark, sf), 4)
 
 
-@query(Q.rnd(Q.with_(Q.BARS) + "SELECT symbol, d, CASE WHEN count(tv) OVER w = 20 THEN avg(tv) OVER w END adv20_irr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)", adv20_irr=2))
+@query(Q.rnd(Q.with_(Q.BARS) + "SELECT symbol, d, CASE WHEN count(tv) OVER w = 20 THEN avg(tv) OVER w END adv20_irr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)", adv20_irr=6))
 def adv20(spark, sf):
-    return rounded(B.market_history(V.bars(spark, sf)).select("symbol", "d", "adv20_irr"), 2)
+    return rounded(B.market_history(V.bars(spark, sf)).select("symbol", "d", "adv20_irr"), 6)
 
 
 @query(Q.with_(Q.BARS) + "SELECT symbol, count(*) source_rows, CAST(0 AS BIGINT) nonfinite_rows, count(*) FILTER (pos % 50 = 0) nonpositive_rows, count(*) FILTER (pos % 50 <> 0) kept_rows FROM bars GROUP BY symbol")
@@ -151,8 +151,8 @@ def scenario_by_year(spark, sf):
     return longs(rounded(L.scenario_by_year(L.all_scenarios(V.bars(spark, sf)))))
 
 
-@query(Q.rnd(Q.with_(*_ALL, _YEAR) + """, y2 AS (SELECT scenario, count(positive_fraction) years, stddev_pop(positive_fraction) fraction_std, max(positive_fraction) - min(positive_fraction) fraction_range FROM yr GROUP BY 1)
-SELECT sc.scenario, count(*) AS "rows", count(*) FILTER (eligible) events, count(*) FILTER (eligible AND "label" = 1) positive, median(holding) FILTER (eligible) median_holding, any_value(years) years, any_value(fraction_std) fraction_std, any_value(fraction_range) fraction_range,
+@query(Q.rnd(Q.with_(*_ALL, _YEAR) + """, y2 AS (SELECT scenario, count(positive_fraction) "years", stddev_pop(positive_fraction) fraction_std, max(positive_fraction) - min(positive_fraction) fraction_range FROM yr GROUP BY 1)
+SELECT sc.scenario, count(*) AS "rows", count(*) FILTER (eligible) events, count(*) FILTER (eligible AND "label" = 1) positive, median(holding) FILTER (eligible) median_holding, any_value("years") AS "years", any_value(fraction_std) fraction_std, any_value(fraction_range) fraction_range,
   count(*) FILTER (eligible AND "label" = 1) / CAST(count(*) FILTER (eligible) AS DOUBLE) positive_fraction FROM sc JOIN y2 USING (scenario) GROUP BY 1""", positive_fraction=6, fraction_std=6, fraction_range=6, median_holding=6))
 def scenario_comparison(spark, sf):
     return rounded(L.scenario_comparison(L.all_scenarios(V.bars(spark, sf))))
@@ -219,9 +219,9 @@ def _stock(spark, sf):
     return P.stock_features(panel)
 
 
-@query(Q.rnd(Q.with_(Q.BARS, Q.IDX, _FLOW, _STOCK) + "SELECT * FROM f4", **dict.fromkeys(_STOCK_COLS, 5)))
+@query(Q.rnd(Q.with_(Q.BARS, Q.IDX, _FLOW, _STOCK) + "SELECT * FROM f4", **dict.fromkeys(_STOCK_COLS, 6)))
 def stock_features(spark, sf):
-    return longs(rounded(_stock(spark, sf).select("symbol", "d", "pos", *_STOCK_COLS[:6], "positive_rs_run_length", "body_ratio"), 5))
+    return longs(rounded(_stock(spark, sf).select("symbol", "d", "pos", *_STOCK_COLS[:6], "positive_rs_run_length", "body_ratio"), 6))
 
 
 _GMMA = {f"e{n}": n for n in (*P.SHORT_EMAS, *P.LONG_EMAS)}
@@ -406,9 +406,9 @@ _UQ = "count(*) events, min(average_uniqueness) min_uniqueness, avg(average_uniq
 _UQ_ROUND = dict.fromkeys(("min_uniqueness", "mean_uniqueness", "median_uniqueness", "max_uniqueness", "effective_fraction"), 6) | {"effective_sample_size": 4}
 
 
-@query(Q.rnd(Q.with_(*Q.BE, _uniqueness("ev", "")) + "SELECT event_id, average_uniqueness, sample_weight FROM uw", average_uniqueness=6, sample_weight=6))
+@query(Q.rnd(Q.with_(*Q.BE, _uniqueness("ev", "")) + "SELECT event_id, average_uniqueness, sample_weight FROM uw", average_uniqueness=9, sample_weight=9))
 def average_uniqueness(spark, sf):
-    return rounded(K.average_uniqueness(V.events(spark, sf), V.bars(spark, sf)).select("event_id", "average_uniqueness", "sample_weight"))
+    return rounded(K.average_uniqueness(V.events(spark, sf), V.bars(spark, sf)).select("event_id", "average_uniqueness", "sample_weight"), 9)
 
 
 @query(Q.rnd(Q.with_(*Q.BF, _TRAIN, _uniqueness("tr", "fold_id")) + f"SELECT fold_id, {_UQ} FROM uw GROUP BY 1", **_UQ_ROUND))
@@ -437,8 +437,8 @@ _POLICY = """
 val AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY fold_id, d ORDER BY score DESC, symbol, event_id) rk, count(*) OVER (PARTITION BY fold_id, d) nd FROM mem WHERE "role" = 'validation'),
 pf AS MATERIALIZED (SELECT fraction, fold_id, count(*) candidates, count(*) FILTER (sel) signals, count(*) FILTER (meta_label = 1) positives, count(*) FILTER (sel AND meta_label = 1) tp, count(*) FILTER (NOT sel AND meta_label = 0) tn FROM
   (SELECT *, rk <= least(nd, greatest(1, ceil(fraction * nd))) sel FROM val, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) t(fraction)) GROUP BY 1, 2),
-pm AS MATERIALIZED (SELECT *, tp / CAST(signals AS DOUBLE) precision, positives / CAST(candidates AS DOUBLE) base_rate, tp / CAST(signals AS DOUBLE) - positives / CAST(candidates AS DOUBLE) precision_lift, (tp / CAST(signals AS DOUBLE)) / (positives / CAST(candidates AS DOUBLE)) precision_ratio, tp / CAST(positives AS DOUBLE) sensitivity, tn / CAST(candidates - positives AS DOUBLE) specificity FROM pf),
-ps AS MATERIALIZED (SELECT fraction, count(*) folds, CAST(sum(signals) AS BIGINT) signals, min(precision_lift) worst_lift, avg(precision_lift) mean_lift, avg(specificity) mean_specificity, avg(precision) mean_precision FROM pm WHERE fold_id <= 4 GROUP BY 1)"""
+pm AS MATERIALIZED (SELECT *, tp / CAST(signals AS DOUBLE) "precision", positives / CAST(candidates AS DOUBLE) base_rate, tp / CAST(signals AS DOUBLE) - positives / CAST(candidates AS DOUBLE) precision_lift, (tp / CAST(signals AS DOUBLE)) / (positives / CAST(candidates AS DOUBLE)) precision_ratio, tp / CAST(positives AS DOUBLE) sensitivity, tn / CAST(candidates - positives AS DOUBLE) specificity FROM pf),
+ps AS MATERIALIZED (SELECT fraction, count(*) folds, CAST(sum(signals) AS BIGINT) signals, min(precision_lift) worst_lift, avg(precision_lift) mean_lift, avg(specificity) mean_specificity, avg("precision") mean_precision FROM pm WHERE fold_id <= 4 GROUP BY 1)"""
 
 
 @query(Q.rnd(Q.with_(*Q.BF, _POLICY) + "SELECT * FROM pm", precision=6, base_rate=6, precision_lift=6, precision_ratio=6, sensitivity=6, specificity=6))
@@ -468,7 +468,7 @@ sc AS (SELECT fold_id, p, count(*) n, count(*) FILTER (y = 1) k FROM pr GROUP BY
 ap AS (SELECT fold_id, sum(k / CAST(tot AS DOUBLE) * tops / alls) ap FROM (SELECT *, sum(k) OVER (PARTITION BY fold_id) tot, sum(k) OVER (PARTITION BY fold_id ORDER BY p DESC) tops, sum(n) OVER (PARTITION BY fold_id ORDER BY p DESC) alls FROM sc) GROUP BY 1),
 c0 AS (SELECT fold_id, count(*) AS "rows", count(*) FILTER (y = 1) positives, count(*) FILTER (y = 0) negatives, avg(-ln(CASE WHEN y = 1 THEN greatest(p, 2.220446049250313e-16::DOUBLE) ELSE 1 - p END)) log_loss, avg((p - y) * (p - y)) brier_score, CAST(count(*) FILTER (p >= 0.5 AND y = 1) AS DOUBLE) tp, CAST(count(*) FILTER (p >= 0.5 AND y = 0) AS DOUBLE) fp,
   CAST(count(*) FILTER (p < 0.5 AND y = 0) AS DOUBLE) tn, CAST(count(*) FILTER (p < 0.5 AND y = 1) AS DOUBLE) fn, (sum(ar) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) roc_auc FROM rk GROUP BY 1),
-cm AS MATERIALIZED (SELECT c0.*, ap average_precision, (tp + tn) / "rows" accuracy, (tp / (tp + fn) + tn / (tn + fp)) / 2 balanced_accuracy, tp / (tp + fp) precision, tp / (tp + fn) recall, tn / (tn + fp) specificity, 2 * tp / (2 * tp + fp + fn) f1, (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) mcc FROM c0 JOIN ap USING (fold_id)),
+cm AS MATERIALIZED (SELECT c0.*, ap average_precision, (tp + tn) / "rows" accuracy, (tp / (tp + fn) + tn / (tn + fp)) / 2 balanced_accuracy, tp / (tp + fp) "precision", tp / (tp + fn) recall, tn / (tn + fp) specificity, 2 * tp / (2 * tp + fp + fn) f1, (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) mcc FROM c0 JOIN ap USING (fold_id)),
 ece AS MATERIALIZED (SELECT fold_id, sum(n * abs(y - q)) / sum(n) ece FROM (SELECT fold_id, b, count(*) n, avg(y) y, avg(p) q FROM (SELECT *, ntile(10) OVER (PARTITION BY fold_id ORDER BY p, event_id) b FROM pr) GROUP BY 1, 2) GROUP BY 1)"""
 _CM_ROUND = dict.fromkeys(("log_loss", "brier_score", "roc_auc", "average_precision", "accuracy", "balanced_accuracy", "precision", "recall", "specificity", "f1", "mcc"), 6)
 

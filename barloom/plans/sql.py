@@ -74,7 +74,7 @@ BE = (*BL, EVENTS)
 BF = (*BE, FOLDS)
 
 IDX_OBS = """
-day AS (SELECT d, round(avg(c), 4) ic, round(avg(l), 4) il, round(avg(h), 4) ih FROM bars GROUP BY d),
+day AS (SELECT d, CAST(floor(avg(c) * 10000 + 0.3137::DOUBLE) AS DOUBLE) / 10000 ic, CAST(floor(avg(l) * 10000 + 0.3137::DOUBLE) AS DOUBLE) / 10000 il, CAST(floor(avg(h) * 10000 + 0.3137::DOUBLE) AS DOUBLE) / 10000 ih FROM bars GROUP BY d),
 obs AS MATERIALIZED (SELECT b.symbol, b.d, CASE WHEN b.symbol = 7 AND dayofyear(b.d) % 97 = 0 THEN ic + 1.0::DOUBLE ELSE ic END ic, il, ih FROM bars b JOIN day USING (d))"""
 IDX = IDX_OBS + """,
 idx AS MATERIALIZED (SELECT d, median(ic) ic, median(il) il, median(ih) ih, row_number() OVER (ORDER BY d) i FROM obs GROUP BY d)"""
@@ -116,11 +116,11 @@ market AS MATERIALIZED (SELECT mk0.d, r1 market_return_1, r5 market_return_5, r2
 PIVOTS = """
 pv AS (SELECT symbol, d, pos, h, l, max(h) OVER lf lh, max(h) OVER rt rh, max(h) OVER af ah, min(l) OVER lf ll, min(l) OVER rt rl, min(l) OVER af al, count(h) OVER lf nl, count(h) OVER rt nr, lead(pos, 16) OVER w cp, lead(d, 16) OVER w cd FROM bars
   WINDOW w AS (PARTITION BY symbol ORDER BY d), lf AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), rt AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), af AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 6 FOLLOWING AND 16 FOLLOWING)),
-piv AS MATERIALIZED (SELECT symbol, cp confirm, pos pivot, true high, h price, d pivot_date, cd confirm_date FROM pv WHERE nl = 5 AND nr = 5 AND lh <= h AND rh < h AND ah <= h AND cp IS NOT NULL
+piv AS MATERIALIZED (SELECT symbol, cp confirm, pos AS "pivot", true high, h price, d pivot_date, cd confirm_date FROM pv WHERE nl = 5 AND nr = 5 AND lh <= h AND rh < h AND ah <= h AND cp IS NOT NULL
   UNION ALL SELECT symbol, cp, pos, false, l, d, cd FROM pv WHERE nl = 5 AND nr = 5 AND ll >= l AND rl > l AND al >= l AND cp IS NOT NULL)"""
 
 ZIGZAG = PIVOTS + """,/*recursive*/
-pe AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirm, pivot, high) n FROM piv),
+pe AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirm, "pivot", high) n FROM piv),
 zz AS (SELECT symbol, n, confirm, CASE WHEN high THEN price END hp, CASE WHEN high THEN pivot_date END hd, CASE WHEN NOT high THEN price END lp, CASE WHEN NOT high THEN pivot_date END ld, high up FROM pe WHERE n = 1
   UNION ALL SELECT z.symbol, z.n, z.confirm, CASE WHEN take AND high THEN price ELSE hp END, CASE WHEN take AND high THEN pivot_date ELSE hd END, CASE WHEN take AND NOT high THEN price ELSE lp END, CASE WHEN take AND NOT high THEN pivot_date ELSE ld END, CASE WHEN take THEN high ELSE up END
   FROM (SELECT e.symbol, e.n, e.confirm, e.high, e.price, e.pivot_date, zz.hp, zz.hd, zz.lp, zz.ld, zz.up,
