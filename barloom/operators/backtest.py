@@ -303,7 +303,7 @@ def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rul
     needed = bars.join(plans.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "d", "pos", "adj_open", "adj_high", "adj_low", "adj_last_price", "adv20_irr")
     grid = F.broadcast(scenarios)  # a few dozen rows
     left = plans.filter("plan_error is null").select("event_id", "symbol", "d", "signal_position", "entry_date", "entry_position", "horizon_end_date", "score", "daily_rank").crossJoin(grid)
-    right = needed.crossJoin(F.broadcast(scenarios.select("scenario_id")))
+    right = needed.crossJoin(F.broadcast(scenarios.select(F.col("scenario_id").alias("bar_scenario"))))
 
     def run(key, plan_rows, bar_rows):
         import pandas as pd
@@ -321,7 +321,7 @@ def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rul
         t = pd.DataFrame(out, columns=list(LEDGER_COLUMNS))
         return t.astype({c: "Int64" for c in ("symbol", "lot_number", "exit_observation", "quantity", "daily_rank", "open_lots", "open_symbols", "protected_lots", "new_lots", "constraint_violations", "negative_cash", "protected_risk")})
 
-    return left.groupBy("scenario_id").cogroup(right.groupBy("scenario_id")).applyInPandas(run, _EVENT_FIELDS)
+    return left.groupBy("scenario_id").cogroup(right.groupBy("bar_scenario")).applyInPandas(run, _EVENT_FIELDS)
 
 
 def part_of(ledger: DataFrame, kind: str, columns: list[str]) -> DataFrame:
