@@ -319,6 +319,8 @@ def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rul
                 histories[symbol] = (dict(zip(g["d"].tolist(), g["pos"].tolist())), rows)
             out = Portfolio(scenario, histories, rules).run(plan_rows.to_dict("records"))
         t = pd.DataFrame(out, columns=list(LEDGER_COLUMNS))
+        for c in ("d", "signal_date", "entry_date", "activation_date", "event_id", "reason", "decision", "trailing"):
+            t[c] = t[c].astype(object).where(t[c].notna(), None)
         return t.astype({c: "Int64" for c in ("symbol", "lot_number", "exit_observation", "quantity", "daily_rank", "open_lots", "open_symbols", "protected_lots", "new_lots", "constraint_violations", "negative_cash", "protected_risk")})
 
     return left.groupBy("scenario_id").cogroup(right.groupBy("bar_scenario")).applyInPandas(run, _EVENT_FIELDS)
