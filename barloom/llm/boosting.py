@@ -79,8 +79,9 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, steps: int = 200) ->
 
 
 def threshold_for(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least score from which on at least this share of rows is positive; above 1 if there is none."""
+    """A score above which at least this share of rows is positive, halfway to the next row below; above 1 if there is none."""
     order = np.argsort(-score, kind="stable")
     hit = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero(hit >= precision)
-    return float(score[order][good[-1]]) if len(good) else 1.01
+    ranked = np.append(score[order], 0.0)
+    return float(ranked[good[-1] : good[-1] + 2].mean()) if len(good) else 1.01

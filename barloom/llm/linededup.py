@@ -79,9 +79,9 @@ def dropped_lines(docs: DataFrame, ws: Workspace, min_near_chars: int = MIN_NEAR
     size = F.char_length("block")
     cut = F.transform(
         F.sequence(F.lit(1), size),
-        lambda p: F.xxhash64(F.col("key"), F.when(F.col("longer") == 0, p).otherwise(F.lit(0)), F.substring(F.col("block"), F.lit(1), p - 1), F.substring(F.col("block"), p + 1, F.lit(2**31 - 1))),
+        lambda p: F.xxhash64(F.col("key"), F.when(F.col("longer") == 0, p).otherwise(F.lit(0)), F.concat(F.substring(F.col("block"), F.lit(1), p - 1), F.substring(F.col("block"), p + 1, F.lit(2**31 - 1)))),
     )
-    whole = F.array(F.xxhash64(F.col("key"), F.lit(0), F.col("block"), F.lit("")))
+    whole = F.array(F.xxhash64(F.col("key"), F.lit(0), F.col("block")))
     shorter = F.when(F.col("longer") == 0, F.concat(whole, F.when(size > 0, cut).otherwise(F.array().cast("array<bigint>")))).otherwise(F.when(size > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<bigint>")))
     variants = ws.stash(fine.select("h1", "h2", "at", "block", "longer", F.explode(shorter).alias("variant")))
     of = lambda longer: F.when(F.col("longer") == longer, F.struct("at", "block"))

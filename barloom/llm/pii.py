@@ -108,7 +108,8 @@ def _examples(words: list[str], n: int = EXAMPLES, seed: int = 7) -> list[tuple[
     num = lambda k: "".join(map(str, r.integers(0, 10, k)))
 
     def name() -> str:
-        return "".join(chr(97 + int(c)) for c in r.integers(0, 26, int(r.integers(3, 9))))
+        part = lambda: "".join(chr(97 + int(c)) for c in r.integers(0, 26, int(r.integers(3, 9))))
+        return part() + pick(("", "", f".{part()}", f"_{part()}", num(2)))
 
     def card(ok: bool) -> str:
         d = pick(("4", "5", "37", "6011")) + num(15)
@@ -121,7 +122,7 @@ def _examples(words: list[str], n: int = EXAMPLES, seed: int = 7) -> list[tuple[
             cue = pick(_AGAINST)
         if kind == "email":
             a, d = pick(("(at)", "[at]", " at ", " (at) ")), pick(("(dot)", "[dot]", " dot ", " (dot) "))
-            span = f"{name()}{a}{name()}{d}{pick(('com', 'org', 'net', 'de'))}" if label else f"{pick(words)} at {pick(words)}. {pick(words)}"
+            span = f"{name()}{a}{name()}{d}{pick(('com', 'org', 'net', 'de'))}" if label else f"{pick(words)} at {pick(words)}.{pick((pick(words), pick(words).title()))}"
         elif kind == "ip":
             span = pick(("[.]", "(.)", "[dot]")).join(str(r.integers(0, 256)) for _ in range(4)) if label else pick(("[.]", "(.)")).join(str(r.integers(300, 1000)) for _ in range(4))
         elif kind == "card":
