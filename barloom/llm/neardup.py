@@ -128,9 +128,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     table = shared("a").join(shared("b"), "node").join(nodes.select("node", "n_shingles"), "node").withColumn("order", -(F.col("a_degree") + F.col("b_degree")))
     own = ("node", "order", "n_shingles")
-    table = ws.stash(table.select(*own, F.explode("a").alias("p"), "b").select(*own, "p", F.explode("b").alias("q")).select(*own, F.xxhash64("p.i", "p.k", "q.i", "q.k").alias("key")))
+    table = ws.stash(table.select(*own, F.explode("a").alias("p"), "b").select(*own, "p", F.explode("b").alias("q")).select(*own, F.col("p.i").alias("i"), F.col("q.i").alias("j"), F.xxhash64("p.i", "p.k", "q.i", "q.k").alias("key")))
     hubs = table.groupBy("key").agg(F.min(F.struct("order", "node", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    members = table.join(hubs, "key").select("key", "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
+    members = table.join(hubs, "key").select("key", "i", "j", "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
     fits = lambda m, n: PERCENT_OF * F.least(m, n) >= PERCENT * F.greatest(m, n)
     stars = members.filter("node <> hub").filter(fits(F.col("n_shingles"), F.col("hub_n"))).select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
     tested = ws.stash(_verified(ws.stash(stars), nodes, docs))
@@ -171,7 +171,7 @@ def _undecided(members: DataFrame, tested: DataFrame, comps: DataFrame, nodes: D
     m = m.join(open_keys, "key")
     asked = ws.stash(m.select("node").distinct())
     m = m.filter("node <> hub").join(dist, ["hub", "node"], "left").withColumn("far_least", F.coalesce("far", 1 - F.least("n_shingles", "hub_n") / F.greatest("n_shingles", "hub_n")))
-    m = ws.stash(m.select("key", "node", "n_shingles", "c", "far", "far_least", "outside", "least", "both", "hub_n"))
+    m = ws.stash(m.select("key", "i", "j", "node", "n_shingles", "c", "far", "far_least", "outside", "least", "both", "hub_n"))
     # Shingles that only one of the sets in question has: they count in a union, never in an intersection.
     found = map_batches(_texts(asked, nodes, docs), _shingles, "node long, shingle long")
     alone = found.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("many")).filter("many = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
@@ -179,12 +179,16 @@ def _undecided(members: DataFrame, tested: DataFrame, comps: DataFrame, nodes: D
     m = m.join(alone, "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     # Of what may be common, the part inside the hub's set and the part outside; single shingles aren't in the hub's set.
     m = m.withColumn("within", F.coalesce("both", F.least("common", "hub_n"))).withColumn("beyond", F.coalesce(F.col("common") - F.col("both"), F.col("common")))
+    # A pair meets in many keys; it is taken up in the first one, by the places where the keys of both collections agree first.
+    m = m.join(nodes.select("node", "a", "b"), "node")
+    first = lambda side: F.array_position(F.zip_with(f"a.{side}", f"b.{side}", lambda x, y: x == y), True) - 1
+    once = (first("a") == F.col("a.i")) & (first("b") == F.col("a.j"))
     can = lambda both, n, other: PERCENT_OF * both >= PERCENT * (n + other - both)
     a = m.filter("outside").filter(can(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))).alias("a")
     b = m.alias("b")
     limit = 1 - PERCENT / PERCENT_OF + 1e-9
     near = (F.coalesce(F.abs(F.col("a.far") - F.col("b.far")), F.lit(0.0)) <= limit) & (F.coalesce(F.col("a.far_least") - F.col("b.far"), F.lit(0.0)) <= limit) & (F.coalesce(F.col("b.far_least") - F.col("a.far"), F.lit(0.0)) <= limit)
     both = F.least(F.least("a.common", "b.common"), F.least("a.within", "b.within") + F.least("a.beyond", "b.beyond"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & can(both, F.col("a.n_shingles"), F.col("b.n_shingles")) & near)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & can(both, F.col("a.n_shingles"), F.col("b.n_shingles")) & near & once)
     pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
     return pairs.join(tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
