@@ -142,7 +142,10 @@ def average_uniqueness(events: DataFrame, bars: DataFrame, by: tuple[str, ...] =
     """
     keys = [*by, "symbol"]
     cal = bars.select("symbol", "d", F.col("pos").alias("at"))
-    e = events.join(cal, ["symbol", "d"]).withColumnRenamed("at", "s").join(cal.withColumnRenamed("d", "event_end_date"), ["symbol", "event_end_date"]).withColumnRenamed("at", "e")
+    if {"pos", "holding_period_observations"} <= set(events.columns):  # places are known already
+        e = events.withColumn("s", F.col("pos")).withColumn("e", F.col("pos") + F.col("holding_period_observations"))
+    else:
+        e = events.join(cal, ["symbol", "d"]).withColumnRenamed("at", "s").join(cal.withColumnRenamed("d", "event_end_date"), ["symbol", "event_end_date"]).withColumnRenamed("at", "e")
     steps = e.select(*keys, F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("step")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("step"))))).groupBy(*keys, "at").agg(F.sum("step").alias("step"))
     groups = e.select(*keys).distinct()
     w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
