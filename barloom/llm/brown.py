@@ -1,13 +1,16 @@
 """Brown class-based n-gram language model: exchange clustering, class transitions, word emissions.
 
-Every word has a class. The CORE most frequent words are clustered one by one; all other words go by their ending, ENDINGS
-groups, and a group is clustered like a word, so the table on which exchange works has a fixed size while its counts come from
-all training tokens. With P(w | class) and the unigram probability both proportional to count(w) + 1/2, a text's score
+Every training word has a class of its own choice. The CORE most frequent words are clustered one by one on the driver, together
+with ENDINGS groups of all other words by their ending, so the table on which that exchange works has a fixed size. Then each
+other training word goes, in Spark, to the class that its own neighbours' classes speak for, by the same likelihood; its
+ending's class only stands for it as a neighbour in that step, and for words that never occur in training. The class pairs are
+counted anew with the final classes, over all training tokens. With P(w | class) and the unigram probability both proportional to count(w) + 1/2, a text's score
 splits into a sum over its words of log10(count + 1/2) and a sum over its class pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -22,8 +25,9 @@ from barloom.llm.work import Workspace, map_batches, session_of
 CORE, ENDINGS, CLASSES, ROUNDS = 2048, 512, 64, 3
 #: Weight of the class bigram against the unigram; weight of the class prior in a transition.
 WEIGHT, PRIOR = 0.95, 5.0
-#: Training words that are sent to every executor, 16 bytes each; a larger vocabulary is joined by shuffle.
+#: Training words that are sent to every executor, 13 bytes each; a larger vocabulary is joined by shuffle.
 BROADCAST_WORDS = 6_000_000
+_SLOTS = 2 * CLASSES + 1  # neighbours after a word, before it, and itself
 _GROUP = ENDINGS - 1  # the low bits of a word's id name the group of its ending
 
 
@@ -144,36 +148,148 @@ def exchange(pairs: np.ndarray, n: np.ndarray, classes: int = CLASSES, rounds: i
     return cls
 
 
-def _score(core: list[int], cls: np.ndarray, log_pair: np.ndarray, core_log: np.ndarray, vocab):
-    """log_pair: log10 of what a class pair puts before count + 1/2; core_log: log10(count + 1/2) of core words and of the end."""
+def _near(core: list[int], cls: np.ndarray):
+    """Classes beside each word outside the core: slot c for class c after it, CLASSES + c before it, 2 * CLASSES for itself after it."""
 
     def make():
         cache, units = _WordIds(), _Units(core)
-        words, counts = vocab.value if vocab else (None, None)
-        core_end = np.concatenate((core_log[:CORE], np.zeros(ENDINGS), core_log[CORE:]))
 
-        def run(doc_ids: list, texts: list, out: list) -> tuple:
-            n_tokens, n_known, pair_sum, word_sum, rare = [], [], [], [], []
+        def run(texts: list) -> tuple:
+            found, slots = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for text in texts:
                 w = _ids(words_of(text), cache)
                 u = units.row(w)
-                c = cls[u]
-                h = w[u[1:-1] >= CORE]
-                total = core_end[u[1:]].sum()
-                known = len(w) - len(h) + 1
-                if words is not None:
-                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    n = np.where(words[at] == h, counts[at], 0) if len(words) else np.zeros(len(h))
-                    total += np.log10(n + 0.5).sum()
-                    known += int((n > 0).sum())
-                    rare.append(None)
-                else:
-                    rare.append(h)
-                n_tokens.append(len(w) + 1)
-                n_known.append(known)
+                at = np.flatnonzero(u[1:-1] >= CORE)
+                if not len(at):
+                    continue
+                c, same = cls[u], np.concatenate(([False], w[1:] == w[:-1], [False]))
+                first = at[~same[at]]
+                found += [w[at], w[first]]
+                slots += [np.where(same[at + 1], 2 * CLASSES, c[at + 2]), CLASSES + c[first]]
+            word, i = np.unique(np.concatenate(found), return_inverse=True)
+            key, n = np.unique(i * _SLOTS + np.concatenate(slots), return_counts=True)
+            return word[key // _SLOTS], key % _SLOTS, n
+
+        return run
+
+    return make
+
+
+def _choose(table: np.ndarray):
+    """The class of each word outside the core, and its count, from slot + 256 * n of its neighbours.
+
+    table: class pairs of the core alone. A word goes where adding it raises the likelihood of exchange() the most.
+    """
+
+    def make():
+        f = lambda x: x * np.log(np.maximum(x, 1))
+        d, out, inn = np.diagonal(table), table.sum(1), table.sum(0)
+
+        def run(words: list, near: list) -> tuple:
+            many = len(words)
+            i = np.repeat(np.arange(many), [len(x) for x in near])
+            n, slot = np.divmod(np.fromiter((y for x in near for y in x), np.int64, len(i)), 256)
+
+            def side(low: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Counts by class, and what they add to the likelihood for each class that the word could have; t: from that side's class."""
+                own = (slot >= low) & (slot < low + CLASSES)
+                k, c, x = i[own], slot[own] - low, n[own]
+                gain = f(t[c] + x[:, None]) - f(t)[c]
+                return np.bincount(k * CLASSES + c, x, many * CLASSES).reshape(many, CLASSES), np.add.reduceat(gain, np.searchsorted(k, np.arange(many)))
+
+            # A word's last occurrence in a run of itself has another neighbour or the end, so both sides have an entry.
+            (right, rows), (left, cols) = side(0, table.T), side(CLASSES, table)
+            own = slot == 2 * CLASSES
+            self_n = np.bincount(i[own], n[own], many)[:, None]
+            corner = f(d + right + left + self_n) - f(d + right) - f(d + left) + f(d)
+            size, size_in = right.sum(1, keepdims=True) + self_n, left.sum(1, keepdims=True) + self_n
+            gain = rows + cols + corner - (f(out + size) - f(out)) - (f(inn + size_in) - f(inn))
+            gain[:, CLASSES - 1] = -np.inf
+            return words, size[:, 0].astype(np.int64), gain.argmax(1)
+
+        return run
+
+    return make
+
+
+class _Tokens:
+    """Classes and counts of a text's tokens; seen: (words, n, classes) of training words outside the core, sorted by word."""
+
+    def __init__(self, core: list[int], cls: np.ndarray):
+        self.cache, self.units, self.cls = _WordIds(), _Units(core), cls
+
+    def read(self, text: str | None, seen: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units and classes, with an end before and after, and counts of the words outside the core."""
+        w = _ids(words_of(text), self.cache)
+        u = self.units.row(w)
+        c, rare = self.cls[u], np.flatnonzero(u[1:-1] >= CORE)
+        words, counts, classes = seen
+        n = np.zeros(len(rare), np.int64)
+        if len(words) and len(rare):
+            at = np.minimum(np.searchsorted(words, w[rare]), len(words) - 1)
+            hit = words[at] == w[rare]
+            n[hit] = counts[at[hit]]
+            c[1 + rare[hit]] = classes[at[hit]]
+        return u, c, n
+
+
+def _seen_by(vocab, seen: tuple):
+    """What each row of a batch knows: the broadcast vocabulary, or its own words' lists from a join."""
+    if vocab:
+        return itertools.repeat(vocab.value)
+    return [tuple(np.array(x or (), np.int64) for x in row) for row in zip(*seen)]
+
+
+def _count_classes(core: list[int], cls: np.ndarray, vocab):
+    def make():
+        tokens = _Tokens(core, cls)
+
+        def run(texts: list, *seen: list) -> tuple:
+            total = np.zeros(CLASSES * CLASSES, np.int64)
+            for text, known in zip(texts, _seen_by(vocab, seen)):
+                _, c, _ = tokens.read(text, known)
+                total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+            pair = np.flatnonzero(total)
+            return pair, total[pair]
+
+        return run
+
+    return make
+
+
+def _rare_words(core: list[int]):
+    """(row, word) of each row's distinct words outside the core."""
+
+    def make():
+        cache, units = _WordIds(), _Units(core)
+
+        def run(rows: list, texts: list) -> tuple:
+            found = []
+            for text in texts:
+                w = _ids(words_of(text), cache)
+                found.append(np.unique(w[units.row(w)[1:-1] >= CORE]))
+            return np.repeat(np.array(rows, np.int64), [len(w) for w in found]), np.concatenate([np.empty(0, np.int64), *found])
+
+        return run
+
+    return make
+
+
+def _score(core: list[int], cls: np.ndarray, log_pair: np.ndarray, core_log: np.ndarray, vocab):
+    """log_pair: log10 of what a class pair puts before count + 1/2; core_log: log10(count + 1/2) of core words and of the end."""
+
+    def make():
+        tokens, core_end = _Tokens(core, cls), np.concatenate((core_log[:CORE], np.zeros(ENDINGS), core_log[CORE:]))
+
+        def run(doc_ids: list, texts: list, out: list, *seen: list) -> tuple:
+            n_tokens, n_known, pair_sum, word_sum = [], [], [], []
+            for text, known in zip(texts, _seen_by(vocab, seen)):
+                u, c, n = tokens.read(text, known)
+                n_tokens.append(len(u) - 1)
+                n_known.append(len(u) - 1 - len(n) + int((n > 0).sum()))
                 pair_sum.append(float(log_pair[c[:-1], c[1:]].sum()))
-                word_sum.append(float(total))
-            return doc_ids, out, n_tokens, n_known, pair_sum, word_sum, rare
+                word_sum.append(float(core_end[u[1:]].sum() + np.log10(n + 0.5).sum()))
+            return doc_ids, out, n_tokens, n_known, pair_sum, word_sum
 
         return run
 
@@ -190,7 +306,7 @@ def class_model_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS)
     """
     spark = session_of(docs)
     ws = Workspace(spark, "brown")
-    out = held_out(F.col("doc_id"), 5, 1)
+    out = held_out(F.col("doc_id"), 5, 1).alias("held_out")
     train = docs.filter(~out & F.col("doc_id").isNotNull()).select("text")
     counts = ws.stash(map_batches(train, _count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("ends")).first()
@@ -205,36 +321,40 @@ def class_model_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS)
     order = np.argsort(pair)
     pair, n = pair[order], n[order]
     cls = exchange(pair, n)
-    unit_n = np.bincount(pair % many, n, many)
-    types = np.zeros(many)  # distinct words of each unit; the unknown word counts in each ending
-    types[: len(core)] = types[-1] = 1
-    types[CORE:-1] = 1
-    rest = counts.filter(F.col("word") != END).groupBy(F.col("word").bitwiseAND(_GROUP).alias("ending")).agg(F.count(F.lit(1)).alias("n")).collect()
-    for r in rest:
-        types[CORE + r.ending] += r.n
-    for w in core:
-        types[CORE + (w & _GROUP)] -= 1
+    first, second = np.divmod(pair, many)
+    inner = ((first < CORE) | (first == many - 1)) & ((second < CORE) | (second == many - 1))
+    core_table = np.bincount(cls[first[inner]] * CLASSES + cls[second[inner]], n[inner], CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(float)
+    near = map_batches(train, _near(core, cls), "word long, slot int, n long").repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    near = near.groupBy("word").agg(F.sort_array(F.collect_list(F.col("n") * 256 + F.col("slot"))).alias("near"))
+    seen = ws.stash(map_batches(near, _choose(core_table), "word long, n long, class int"))
+    class_n, class_types = np.bincount(cls[np.r_[: len(core), many - 1]], core_n[np.r_[: len(core), CORE]], CLASSES), np.bincount(cls[np.r_[: len(core), CORE:many]], minlength=CLASSES).astype(float)
+    for r in seen.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():  # the unknown word counts in each ending
+        class_n[r["class"]] += r.n
+        class_types[r["class"]] += r.words
     tokens, kinds = size.tokens, size.words + 1
-    class_n, class_types = np.bincount(cls, unit_n, CLASSES), np.bincount(cls, types, CLASSES)
-    first, second = cls[pair // many], cls[pair % many]
-    table = np.bincount(first * CLASSES + second, n, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-    prior = (class_n + 0.5 * class_types) / (tokens + 0.5 * kinds)
-    step = (table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR)
-    log_pair = np.log10(WEIGHT * step / np.maximum(class_n + 0.5 * class_types, 0.5) + (1 - WEIGHT) / (tokens + 0.5 * kinds))
-    small = size.words <= broadcast_words
+    rows = docs.select("doc_id", "text", out)
+    known: list[str] = []
     vocab = None
-    if small:
-        arrow = counts.toArrow()
-        words, word_n = arrow["word"].to_numpy(), arrow["n"].to_numpy()
+    if size.words <= broadcast_words:
+        arrow = seen.toArrow()
+        words, word_n, word_class = (arrow[c].to_numpy() for c in ("word", "n", "class"))
         del arrow
         order = np.argsort(words)
-        vocab = spark.sparkContext.broadcast((words[order], word_n[order].astype(np.int32 if word_n.max(initial=0) < 2**31 else np.int64)))
-    made = map_batches(docs.select("doc_id", "text", out), _score(core, cls, log_pair, np.log10(core_n + 0.5), vocab), "doc_id long, held_out boolean, n_tokens long, n_known long, pair_sum double, word_sum double, rare array<long>")
-    if not small:
-        made = ws.stash(made.withColumn("row", F.monotonically_increasing_id()))
-        rare = made.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row")
-        rare = rare.agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_sum"), F.count("n").alias("rare_known"))
-        made = made.join(rare, "row", "left").withColumn("word_sum", F.col("word_sum") + F.coalesce("rare_sum", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("rare_known", F.lit(0)))
+        vocab = spark.sparkContext.broadcast((words[order], word_n[order].astype(np.int32 if word_n.max(initial=0) < 2**31 else np.int64), word_class[order].astype(np.int8)))
+    else:
+        known = ["words", "ns", "classes"]
+        rows = ws.stash(rows.withColumn("row", F.monotonically_increasing_id()))
+        own = map_batches(rows.select("row", "text"), _rare_words(core), "row long, word long").join(seen, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("word", "n", "class"))).alias("x"))
+        rows = ws.stash(rows.join(own.select("row", *[F.col(f"x.{c}").alias(k) for c, k in zip(("word", "n", "class"), known)]), "row", "left"))
+    learned = rows.filter(~F.col("held_out") & F.col("doc_id").isNotNull()).select("text", *known)
+    table = np.zeros(CLASSES * CLASSES)
+    for r in map_batches(learned, _count_classes(core, cls, vocab), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r.pair] = r.n
+    table = table.reshape(CLASSES, CLASSES)
+    prior = (class_n + 0.5 * class_types) / (tokens + 0.5 * kinds)
+    step = (table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR)
+    log_pair = np.log10(WEIGHT * step / np.maximum(class_n + 0.5 * class_types, 0.5) + (1 - WEIGHT) / (tokens + 0.5 * kinds))
+    made = map_batches(rows.select("doc_id", "text", "held_out", *known), _score(core, cls, log_pair, np.log10(core_n + 0.5), vocab), "doc_id long, held_out boolean, n_tokens long, n_known long, pair_sum double, word_sum double")
     unit = math.log10(tokens + 0.5 * kinds)
     score = F.col("word_sum") + F.col("pair_sum")
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("word_sum") - unit * F.col("n_tokens")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

@@ -281,6 +281,29 @@ def test_class_model(spark, corpus):
     assert np.allclose(sorted(a["base_score"]), want)
 
 
+def test_class_model_rare_words(spark):
+    """Two words outside the core with one ending and one count: each is likelier among the words beside which it was seen."""
+    r = random.Random(8)
+    a, b = ([f"{side}{i}" for i in range(1100)] for side in "ab")
+    rows = []
+    for i in range(3000):
+        w = r.choices((a, b)[i % 2], k=20)
+        if i < 60:
+            w[10] = ("xyend", "zyend")[i % 2]
+        rows.append((i, " ".join(w)))
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    few = min(sum(i < 60 and i % 2 == k for i in train) for k in (0, 1))
+    kept = {k: [i for i in train if i < 60 and i % 2 == k][:few] for k in (0, 1)}
+    rows = [(i, t) for i, t in rows if i >= 60 or i in kept[i % 2]]
+    held = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    rows += list(zip(held, ("a1 xyend a2", "a1 zyend a2", "b1 zyend b2", "b1 xyend b2")))
+    for limit in (10**6, 0):
+        got = {g.doc_id: g for g in class_model_scores(docs_of(spark, rows), broadcast_words=limit).collect()}
+        own_a, other_a, own_b, other_b = (got[i] for i in held)
+        assert own_a.base_score == other_a.base_score and own_b.base_score == other_b.base_score
+        assert own_a.score > other_a.score + 0.1 and own_b.score > other_b.score + 0.1
+
+
 def test_quality(spark):
     r = random.Random(6)
     good = lambda: " ".join(r.choices("this is a plain sentence about nothing much at all".split(), k=120)) + "."
