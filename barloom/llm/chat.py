@@ -22,15 +22,18 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 @dataclass(frozen=True)
 class Mapping:
-    """turns: (role, path) in order, for records of fixed fields; or items: (list path, role field, text field), for lists of messages."""
+    """turns: (role, path) in order, for records of fixed fields; or items: (list path, role field, text field), for lists of messages;
+    or row: (turn field, role field, text field), for records that are a turn each."""
 
     paths: tuple[str, ...]
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     items: tuple[str, str, str] | None = None
+    row: tuple[str, str, str] | None = None
 
 
 #: More specific mappings first.
 MAPPINGS = (
+    Mapping(("turn", "role", "text"), row=("turn", "role", "text")),
     Mapping(("messages[].content", "messages[].role"), items=("messages", "role", "content")),
     Mapping(("conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
     Mapping(("instruction", "input", "output"), turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -49,49 +52,98 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, _KNOWN)))))
 
 
-def _paths(record: Column) -> Column:
-    """Field paths of a JSON object, to the depth that mappings need: a.b as a[].b where a is a list of objects."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+_LISTS = sorted({m.items[0] for m in MAPPINGS if m.items})
+_TURNS = "array<struct<turn:long,role:string,text:string>>"
 
-    def inside(name: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
+
+class _Json:
+    """A column of JSON objects."""
+
+    def __init__(self, record: Column):
+        self.record = record
+        top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+        #: Field paths, to the depth that mappings need: a.b as a[].b where a is a list of objects.
+        self.paths = F.concat(top, *map(self._inside, _LISTS))
+
+    def _inside(self, name: str) -> Column:
+        keys = F.json_object_keys(F.get_json_object(self.record, f"$.{name}[0]"))
         return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
 
-    return F.concat(top, *map(inside, sorted({m.items[0] for m in MAPPINGS if m.items})))
+    def has(self, m: Mapping) -> bool:
+        return True
 
+    def number(self, path: str) -> Column:
+        return self.field(path).try_cast("long")
 
-_TURNS = "array<struct<role:string,text:string>>"
+    def field(self, path: str) -> Column:
+        return F.get_json_object(self.record, f"$.{path}")
 
+    def items(self, name: str, role: str, text: str) -> Column:
+        return F.from_json(self.field(name), f"array<struct<`{role}`:string,`{text}`:string>>")
 
-def canonical_turns(record: Column) -> Column:
-    """array<struct<role, text>> of a JSON record; null where no mapping has its fingerprint, or it isn't an object."""
-    mark = fingerprint(_paths(record))
+
+class _Columns:
+    """A table whose columns are the fields: its paths come from the schema, the same for every row."""
+
+    def __init__(self, df: DataFrame, but: str):
+        self.kinds = {f.name: f.dataType for f in df.schema.fields if f.name != but}
+        paths = list(self.kinds)
+        for name in _LISTS:
+            inner = getattr(self.kinds.get(name), "elementType", None)
+            paths += [f"{name}[].{c}" for c in getattr(inner, "names", ())]
+        self.known = set(paths)
+        self.paths = F.array(*map(F.lit, paths)).cast("array<string>")
+
+    def has(self, m: Mapping) -> bool:
+        return set(m.paths) <= self.known
+
+    def number(self, path: str) -> Column:
+        return F.col(f"`{path}`").cast("long")
+
+    def field(self, path: str) -> Column:
+        nested = self.kinds[path].typeName() in ("array", "map", "struct", "variant")
+        return F.to_json(f"`{path}`") if nested else F.col(f"`{path}`").cast("string")
+
+    def items(self, name: str, role: str, text: str) -> Column:
+        return F.transform(F.col(f"`{name}`"), lambda x: F.struct(x[role].cast("string").alias(role), x[text].cast("string").alias(text)))
+
+
+def _canonical(source: _Json | _Columns) -> Column:
+    """array<struct<turn, role, text>> by the mapping that the fingerprint of source's paths selects; null where none does."""
+    mark = fingerprint(source.paths)
     role = lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.lower(r)), F.lower(r), F.lit("user"))
     out = F.lit(None).cast(_TURNS)
     for m in reversed(MAPPINGS):
-        if m.items:
+        if not source.has(m):
+            continue
+        if m.row:
+            turn, who, what = m.row
+            turns = F.array(F.struct(source.number(turn).alias("turn"), source.field(who).alias("role"), source.field(what).alias("text")))
+        elif m.items:
             name, role_field, text_field = m.items
-            items = F.from_json(F.get_json_object(record, f"$.{name}"), f"array<struct<`{role_field}`:string,`{text_field}`:string>>")
-            items = F.transform(items, lambda x: F.struct(x[role_field].alias("role"), x[text_field].alias("text")))  # noqa: B023
-            turns = F.transform(items, lambda x: F.struct(role(x["role"]).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
+            turns = F.transform(source.items(*m.items), lambda x, i: F.struct(i.cast("long").alias("turn"), role(x[role_field]).alias("role"), F.coalesce(x[text_field], F.lit("")).alias("text")))  # noqa: B023
         else:
-            field = lambda p: F.get_json_object(record, f"$.{p}")
-            text = lambda ps: F.array_join(F.filter(F.array(*[F.coalesce(field(p), F.lit("")) for p in ps]), lambda x: x != ""), "\n")
-            turns = F.array(*[F.struct(F.lit(r).alias("role"), text(ps).alias("text")) for r, ps in m.turns])
+            text = lambda ps: F.array_join(F.filter(F.array(*[F.coalesce(source.field(p), F.lit("")) for p in ps]), lambda x: x != ""), "\n")
+            turns = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), text(ps).alias("text")) for i, (r, ps) in enumerate(m.turns)])
         out = F.when(mark == F.xxhash64(F.array(*map(F.lit, sorted(m.paths)))), turns.cast(_TURNS)).otherwise(out)
     return out
 
 
+def canonical_turns(record: Column) -> Column:
+    """array<struct<turn, role, text>> of a JSON record; null where no mapping has its fingerprint, or it isn't an object."""
+    return _canonical(_Json(record))
+
+
 def turns_of(df: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
     """(conv_id, turn, role, text) of a table in any layout that MAPPINGS know.
 
-    A table with columns turn, role and text has a turn in each row. One with a column of JSON records has a conversation in each
-    row, and so has any other: its nested columns are read as a record. Rows whose fingerprint no mapping has give no turns.
+    A table with a column of JSON records has them in its rows; of any other, the columns are the fields. The fingerprint of the
+    field paths selects the mapping, for turn rows (turn, role, text) as for conversations in one row. Lists of messages get their
+    roles in lower case with the aliases of ROLES replaced. Turn rows keep role and text as they are, nulls too: an alias such as gpt, or
+    Assistant, isn't the learned role there, as in the query's SQL. Rows whose fingerprint no mapping has give no turns.
     """
-    if {"turn", "role", "text"} <= set(df.columns):
-        return df.select(F.col(conv_id).alias("conv_id"), F.col("turn").cast("long"), "role", "text")
-    whole = F.col(record) if record in df.columns else F.to_json(F.struct(*[c for c in df.columns if c != conv_id]))
-    return df.select(F.col(conv_id).alias("conv_id"), F.posexplode(canonical_turns(whole)).alias("turn", "x")).select("conv_id", F.col("turn").cast("long"), "x.role", "x.text")
+    source = _Json(F.col(record)) if record in df.columns else _Columns(df, conv_id)
+    return df.select(F.col(conv_id).alias("conv_id"), F.explode(_canonical(source)).alias("x")).select("conv_id", "x.turn", "x.role", "x.text")
 
 
 def escape(text: Column) -> Column:

@@ -329,6 +329,18 @@ def test_chat_round_trip(spark):
     assert chat.format_turns(d.limit(0)).count() == 0
 
 
+def test_chat_turn_rows_by_mapping(spark, monkeypatch):
+    cols = "conv_id long, turn int, role string, text string, other double"
+    rows = [(1, 0, "user", "a", 1.0), (1, 1, "gpt", None, 1.0), (1, None, None, "c", 1.0)]
+    d = spark.createDataFrame(rows, cols)
+    told = lambda t: sorted(((g.conv_id, g.turn, g.role, g.text) for g in t.collect()), key=str)
+    assert told(chat.turns_of(d)) == sorted((r[:4] for r in rows), key=str)
+    record = d.select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    assert told(chat.turns_of(record)) == told(chat.turns_of(d))
+    monkeypatch.setattr(chat, "MAPPINGS", tuple(m for m in chat.MAPPINGS if not m.row))
+    assert chat.turns_of(d).count() == 0
+
+
 def test_chat_layouts(spark):
     rows = ['{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":null}],"id":1}', '{"prompt":"a","completion":"b","meta":{"x":1}}', '{"instruction":"a","input":"c","output":"b"}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', '{"foo":1}', "no json", None]
     d = spark.createDataFrame(list(enumerate(rows)), "conv_id int, record string")
