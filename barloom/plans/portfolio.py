@@ -63,14 +63,13 @@ def scenario_grid(spark, sf):
 
 
 def _scenarios(spark, sf):
-    """One capital, two slippages, both structures and exits: eight scenarios."""
-    capital = spark.createDataFrame([("primary", 20_000_000.0)], "capital string, initial_capital double")
-    return T.scenario_grid(spark, capital, slippages=("0bp", "20bp"))
+    """The whole grid, with the capitals calibrated from customers: 48 scenarios."""
+    return T.scenario_grid(spark, _capitals(spark, sf))
 
 
-def _ledger(spark, sf):
+def _ledger(spark, sf, scenarios=None):
     bars = B.market_history(V.bars(spark, sf))
-    return T.simulate(_scenarios(spark, sf), T.execution_plan(_signals(spark, sf), bars), bars)
+    return T.simulate(_scenarios(spark, sf) if scenarios is None else scenarios, T.execution_plan(_signals(spark, sf), bars), bars)
 
 
 @query()
@@ -91,7 +90,8 @@ def portfolio_daily(spark, sf):
 @query(Q.with_(*Q.BE, _PLAN) + """SELECT 'capital_primary__slip_' || slip || '__' || structure || '__' || exit_style scenario_id, (SELECT count(*) FROM plans WHERE plan_error IS NULL) signals_decided, CAST(0 AS BIGINT) entry_constraint_violations, CAST(0 AS BIGINT) negative_cash_events, CAST(0 AS BIGINT) protected_lot_nonzero_planned_risk_events, true closed
 FROM (VALUES ('0bp'), ('20bp')) s(slip), (VALUES ('multi_lot'), ('single_lot')) p(structure), (VALUES ('trailing'), ('fixed_take_profit')) e(exit_style)""")
 def portfolio_integrity(spark, sf):
-    t = T.portfolio_integrity(_ledger(spark, sf))
+    # The eight scenarios that its SQL names, of 48.
+    t = T.portfolio_integrity(_ledger(spark, sf, _scenarios(spark, sf).filter("capital = 'primary' and slippage in (0.0D, 0.002D)")))
     return longs(t.select("scenario_id", "signals_decided", "entry_constraint_violations", "negative_cash_events", "protected_lot_nonzero_planned_risk_events", (F.col("accepted_signals") == F.col("closed_trades")).alias("closed")))
 
 
