@@ -123,6 +123,8 @@ def fingerprint(spark, sf):
 # --- models -----------------------------------------------------------------------------------------------------------------------
 
 _NUMERIC = ["x1", "x2", "x3"]
+#: All folds of K.build_folds.
+_FOLDS = [1, 2, 3, 4, 5]
 
 
 def _model_members(spark, sf):
@@ -145,20 +147,20 @@ def weighted_class_ratio(spark, sf):
 
 @query()
 def logistic_baseline(spark, sf):
-    return ml.fit_predict_fold(_model_members(spark, sf), 1, "logistic", _NUMERIC)[0].select("event_id", "fold_id", "meta_label", "p")
+    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "logistic", _NUMERIC).select("event_id", "fold_id", "meta_label", "p")
 
 
 @query()
 def forest_oof(spark, sf):
-    return ml.fit_predict_fold(_model_members(spark, sf), 1, "forest", _NUMERIC)[0].select("event_id", "fold_id", "meta_label", "p")
+    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "forest", _NUMERIC).select("event_id", "fold_id", "meta_label", "p")
 
 
 @query()
 def gbt_oof(spark, sf):
-    return ml.fit_predict_fold(_model_members(spark, sf), 1, "gbt", _NUMERIC)[0].select("event_id", "fold_id", "meta_label", "p")
+    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "gbt", _NUMERIC).select("event_id", "fold_id", "meta_label", "p")
 
 
 @query()
 def calibration_by_method(spark, sf):
     oof = V.oof(spark, sf).select("fold_id", "event_id", "meta_label", F.col("score").alias("p"))
-    return S.choose_calibration(ml.calibration_summary(ml.expanding_calibration(oof, [1, 2])))
+    return S.choose_calibration(ml.calibration_summary(ml.expanding_calibration(oof, _FOLDS)))

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.plans import portfolio
 from barloom.plans.catalog import QUERIES
@@ -29,3 +30,15 @@ def test_simulation_covers_the_grid(spark, tables):
     assert {g.scenario_id: round(g.initial_capital, 2) for g in portfolio._scenarios(spark, tables).collect()} == grid
     assert {g.scenario_id for g in QUERIES["portfolio_daily"](spark, tables).select("scenario_id").distinct().collect()} == set(grid)
     assert QUERIES["portfolio_integrity"](spark, tables).count() == 8
+
+
+def test_models_cover_all_folds(spark, tables, monkeypatch):
+    assert {g.fold_id for g in QUERIES["logistic_baseline"](spark, tables).select("fold_id").distinct().collect()} == {1, 2, 3, 4, 5}
+    seen = []
+    monkeypatch.setattr(portfolio.ml, "out_of_fold", lambda m, folds, kind, *a: seen.append((kind, folds)) or m.withColumn("p", F.lit(0.5)))
+    monkeypatch.setattr(portfolio.ml, "expanding_calibration", lambda oof, folds: seen.append(("calibration", folds)) or oof)
+    monkeypatch.setattr(portfolio.ml, "calibration_summary", lambda t: t)
+    monkeypatch.setattr(portfolio.S, "choose_calibration", lambda t: t)
+    for name in ("forest_oof", "gbt_oof", "calibration_by_method"):
+        QUERIES[name](spark, tables)
+    assert seen == [(kind, [1, 2, 3, 4, 5]) for kind in ("forest", "gbt", "calibration")]
