@@ -131,9 +131,28 @@ def language_of(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     return identify(docs.select("doc_id", "text", out.alias("held_out")), profiles)
 
 
+def _keep_determined(profiles: dict[str, list[int]], text_at: int):
+    """Batches of whole rows without those that get no language from their own text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        predict = _predict(profiles)()
+        for batch in batches:
+            texts = batch.column(text_at).to_pylist()
+            _, _, pred, _ = predict(texts, texts, texts)
+            yield batch.filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+
+    return run
+
+
 def drop_undetermined(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Rows of docs whose text has a language; the others, without a letter, go."""
-    gone = language_of(docs, train_rows).filter(F.col("lang_pred") == UNDETERMINED).select("doc_id").distinct()
-    empty = ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.filter(~empty)
-    return rows.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of docs whose text has a language; the others, null or without a letter, go, each by its own text.
+
+    Profiles are learned as in language_of(); where nothing can be learned, rows with a letter stay.
+    """
+    session_of(docs)
+    out = held_out(F.col("doc_id"), 4, 2)
+    profiles = learn_profiles(docs.filter(~out & F.col("doc_id").isNotNull()).select("text", "lang", F.col("doc_id").alias("key")), train_rows)
+    rows = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return rows.mapInArrow(_keep_determined(profiles, docs.columns.index("text")), docs.schema) if profiles else rows

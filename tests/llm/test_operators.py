@@ -264,6 +264,16 @@ def test_language(spark):
     assert language_of(d.limit(0)).count() == 0
 
 
+def test_language_drops_by_own_text(spark):
+    rows = [(1, "the quick fox"), (1, None), (2, "12 -- 34"), (2, "lazy dogs"), (3, "")]
+    unlabelled = spark.createDataFrame([(i, t, None, "s", 1, "k", 1) for i, t in rows], DOCS)
+    labelled = docs_of(spark, [*rows, *((i, "the lazy dogs") for i in range(10, 20))])
+    for d, more in ((unlabelled, 0), (labelled, 10)):
+        kept = drop_undetermined(d)
+        assert kept.columns == d.columns and sorted((g.doc_id, g.text) for g in kept.collect() if g.doc_id < 10) == [(1, "the quick fox"), (2, "lazy dogs")]
+        assert kept.count() == 2 + more
+
+
 def test_class_model(spark, corpus):
     d = docs_of(spark, corpus)
     a, b = class_model_scores(d).toPandas(), class_model_scores(d, broadcast_words=0).toPandas()
