@@ -36,6 +36,8 @@ MAPPINGS = (
     Mapping(("turn", "role", "text"), row=("turn", "role", "text")),
     Mapping(("messages[].content", "messages[].role"), items=("messages", "role", "content")),
     Mapping(("conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
+    Mapping(("system", "instruction", "input", "output"), turns=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping(("system", "instruction", "output"), turns=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
     Mapping(("instruction", "input", "output"), turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping(("instruction", "output"), turns=(("user", ("instruction",)), ("assistant", ("output",)))),
     Mapping(("instruction", "response"), turns=(("user", ("instruction",)), ("assistant", ("response",)))),
@@ -44,12 +46,9 @@ MAPPINGS = (
     Mapping(("prompt", "completion"), turns=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping(("question", "answer"), turns=(("user", ("question",)), ("assistant", ("answer",)))),
 )
-_KNOWN = sorted({p for m in MAPPINGS for p in m.paths})
-
-
-def fingerprint(paths: Column) -> Column:
-    """Hash of those of a record's field paths that some mapping knows, in order of name; other fields don't change it."""
-    return F.xxhash64(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, _KNOWN)))))
+def fingerprint(paths: Column, m: Mapping) -> Column:
+    """Hash of those of a record's field paths that the mapping names, in order of name; other fields don't change it."""
+    return F.xxhash64(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, m.paths)))))
 
 
 _LISTS = sorted({m.items[0] for m in MAPPINGS if m.items})
@@ -66,7 +65,8 @@ class _Json:
         self.paths = F.concat(top, *map(self._inside, _LISTS))
 
     def _inside(self, name: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(self.record, f"$.{name}[0]"))
+        items = F.from_json(self.field(name), "array<string>")
+        keys = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
         return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
 
     def has(self, m: Mapping) -> bool:
@@ -109,8 +109,7 @@ class _Columns:
 
 
 def _canonical(source: _Json | _Columns) -> Column:
-    """array<struct<turn, role, text>> by the mapping that the fingerprint of source's paths selects; null where none does."""
-    mark = fingerprint(source.paths)
+    """array<struct<turn, role, text>> by the first mapping whose fingerprint source's paths have, that is, which is contained in them; null where none is."""
     role = lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.lower(r)), F.lower(r), F.lit("user"))
     out = F.lit(None).cast(_TURNS)
     for m in reversed(MAPPINGS):
@@ -125,7 +124,7 @@ def _canonical(source: _Json | _Columns) -> Column:
         else:
             text = lambda ps: F.array_join(F.filter(F.array(*[F.coalesce(source.field(p), F.lit("")) for p in ps]), lambda x: x != ""), "\n")
             turns = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), text(ps).alias("text")) for i, (r, ps) in enumerate(m.turns)])
-        out = F.when(mark == F.xxhash64(F.array(*map(F.lit, sorted(m.paths)))), turns.cast(_TURNS)).otherwise(out)
+        out = F.when(fingerprint(source.paths, m) == F.xxhash64(F.array(*map(F.lit, sorted(m.paths)))), turns.cast(_TURNS)).otherwise(out)
     return out
 
 
@@ -134,16 +133,26 @@ def canonical_turns(record: Column) -> Column:
     return _canonical(_Json(record))
 
 
+def _turns_in(df: DataFrame, conv_id: str, record: str) -> Column:
+    return _canonical(_Json(F.col(record)) if record in df.columns else _Columns(df, conv_id))
+
+
 def turns_of(df: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
     """(conv_id, turn, role, text) of a table in any layout that MAPPINGS know.
 
     A table with a column of JSON records has them in its rows; of any other, the columns are the fields. The fingerprint of the
     field paths selects the mapping, for turn rows (turn, role, text) as for conversations in one row. Lists of messages get their
     roles in lower case with the aliases of ROLES replaced. Turn rows keep role and text as they are, nulls too: an alias such as gpt, or
-    Assistant, isn't the learned role there, as in the query's SQL. Rows whose fingerprint no mapping has give no turns.
+    Assistant, isn't the learned role there, as in the query's SQL. Rows whose fingerprint no mapping has give no turns;
+    rejected() has them.
     """
-    source = _Json(F.col(record)) if record in df.columns else _Columns(df, conv_id)
-    return df.select(F.col(conv_id).alias("conv_id"), F.explode(_canonical(source)).alias("x")).select("conv_id", "x.turn", "x.role", "x.text")
+    return df.select(F.col(conv_id).alias("conv_id"), F.explode(_turns_in(df, conv_id, record)).alias("x")).select("conv_id", "x.turn", "x.role", "x.text")
+
+
+def rejected(df: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
+    """(conv_id, reason) of the rows that give turns_of() no turns: no mapping, or no turns in their list."""
+    t = df.select(F.col(conv_id).alias("conv_id"), _turns_in(df, conv_id, record).alias("x"))
+    return t.filter(F.coalesce(F.size("x"), F.lit(-1)) <= 0).select("conv_id", F.when(F.col("x").isNull(), "no mapping").otherwise("no turns").alias("reason"))
 
 
 def escape(text: Column) -> Column:

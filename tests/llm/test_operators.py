@@ -351,6 +351,18 @@ def test_chat_turn_rows_by_mapping(spark, monkeypatch):
     assert chat.turns_of(d).count() == 0
 
 
+def test_chat_drops_nothing_silently(spark):
+    rows = ['{"instruction":"a","output":"b","system":"s"}', '{"prompt":"a","response":"b","question":"q"}', '{"messages":[]}', '{"messages":[{"role":"user"},{"role":"assistant","content":"b"}]}', '{"foo":1}', None]
+    d = spark.createDataFrame(list(enumerate(rows)), "conv_id int, record string")
+    got: dict = {}
+    for t in chat.turns_of(d).orderBy("conv_id", "turn").collect():
+        got.setdefault(t.conv_id, []).append((t.role, t.text))
+    assert got == {0: [("system", "s"), ("user", "a"), ("assistant", "b")], 1: [("user", "a"), ("assistant", "b")], 3: [("user", ""), ("assistant", "b")]}
+    assert {(r.conv_id, r.reason) for r in chat.rejected(d).collect()} == {(2, "no mapping"), (4, "no mapping"), (5, "no mapping")}
+    table = spark.createDataFrame([(1, "q", None), (2, None, "r")], "conv_id int, prompt string, response string")
+    assert [(t.conv_id, t.role, t.text) for t in chat.turns_of(table).orderBy("conv_id", "turn").collect()] == [(1, "user", "q"), (1, "assistant", ""), (2, "user", ""), (2, "assistant", "r")]
+
+
 def test_chat_layouts(spark):
     rows = ['{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":null}],"id":1}', '{"prompt":"a","completion":"b","meta":{"x":1}}', '{"instruction":"a","input":"c","output":"b"}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', '{"foo":1}', "no json", None]
     d = spark.createDataFrame(list(enumerate(rows)), "conv_id int, record string")
