@@ -7,20 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
-#: Rows in an Arrow batch; documents can be long, so batches are kept short.
-ARROW_ROWS = 500
+#: Rows in an Arrow batch, and bytes; documents can be long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_DIR
+    """The folder that spark.checkpoint.dir names; on a cluster it has to."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or DEFAULT_DIR
 
 
 def session_of(df: DataFrame) -> SparkSession:
+    """The session, whose Arrow batches are bounded in rows and bytes from now on (settings of the whole session)."""
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, value in (("maxRecordsPerBatch", str(ARROW_ROWS)), ("maxBytesPerBatch", f"{ARROW_BYTES}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") != value:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
     return spark
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, pii
+from barloom.llm import brown, chat, pii
 from barloom.llm.boosting import fit_boosted
 from barloom.llm.brown import class_model_scores
 from barloom.llm.components import connected_components
@@ -314,6 +314,35 @@ def test_class_model_rare_words(spark):
         assert own_a.score > other_a.score + 0.1 and own_b.score > other_b.score + 0.1
 
 
+def test_class_model_probabilities_sum_to_one():
+    r = np.random.default_rng(4)
+    table, mass = r.integers(0, 50, (brown.CLASSES, brown.CLASSES)).astype(float), r.integers(1, 900, brown.CLASSES) + 0.5
+    weight, prior = brown.fit_weights(table, mass / mass.sum(), mass, mass.sum())
+    told = 10 ** brown.pair_logs(table, mass, mass.sum(), weight, prior)
+    assert 0 < weight < 1 and np.allclose((told * mass).sum(1), 1)
+
+
+def test_class_model_edges(spark):
+    """Without training rows nothing is known; repeated rows each count and are scored; other columns don't matter."""
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
+    alone = class_model_scores(docs_of(spark, [(held, "a b"), (held, None), (None, "a")])).collect()
+    assert {(g.n_tokens, g.n_known, g.train_tokens) for g in alone} == {(3, 0, 0), (1, 0, 0), (2, 0, 0)} and all(g.base_score == 0 for g in alone)
+    train = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 1)
+    d = docs_of(spark, [(train, "a a b"), (train, "a a b"), (held, "a " * 50_000)]).withColumn("n_tokens", F.lit("mine")).withColumn("a.b", F.lit(1))
+    got = sorted(class_model_scores(d).collect(), key=lambda g: g.n_tokens)
+    assert [(g.n_tokens, g.n_known, g.train_tokens) for g in got] == [(4, 4, 8), (4, 4, 8), (50_001, 50_001, 8)]
+    assert np.isclose(got[0].base_score, sum(np.log10((c + 0.5) / (8 + 0.5 * 4)) for c in (4, 4, 2, 2)))
+
+
+def test_hashed_words_are_the_words():
+    texts = [None, "", " \n", "One two  ONE", "x", "\x00a b\u3000c É", "w " * 3000, "last"]
+    from barloom.llm.words import hashed_words, words_of
+
+    hashes, _, many = hashed_words(texts)
+    flat = [w for t in texts for w in words_of(t)]
+    assert many.tolist() == [len(words_of(t)) for t in texts] and len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
 def test_quality(spark):
     r = random.Random(6)
     good = lambda: " ".join(r.choices("this is a plain sentence about nothing much at all".split(), k=120)) + "."
