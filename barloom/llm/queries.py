@@ -53,7 +53,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+    return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
