@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import sys
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,16 +17,19 @@ ORDERS = 3
 #: Documents of each language that profiles are learned from, about; they are drawn by a hash over all of them.
 TRAIN_ROWS = 4000
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Whether each code point is a letter; digits, fractions, superscripts and numerals of other kinds aren't.
+_LETTER = np.fromiter((c.isalpha() for c in map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
 _U = np.uint64
 
 
 def _codes(text: str) -> np.ndarray:
     """Codes of all n-grams within and at the edges of words; other characters than letters only part words."""
-    t = _NOT_LETTERS.sub(" ", text).strip(" ").lower()
-    if not t:
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _LETTER[c]
+    if not letter.any():
         return np.empty(0, _U)
-    c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+    letter[0] = True  # the one space before the first word stays, and one after each
+    c = np.where(_LETTER[c], c, 32)[letter | np.append(False, letter[:-1] & (c[:-1] != 32))].astype(_U)
     found, code = [c[c != 32]], c
     for n in range(1, ORDERS):
         code = (code[:-1] << _U(21)) | c[n:]
@@ -124,7 +127,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
 def language_of(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): profiles learned from docs(doc_id, text, lang) whose crc32(doc_id) mod 4 is not 2
-    (rows with null lang, text or doc_id teach nothing), applied to every row. Other columns are ignored; no rows, no result."""
+    (rows with null lang, text or doc_id teach nothing; rows that share a doc_id or a text each teach and each have a result),
+    applied to every row's whole text. Characters that aren't letters only part words: a text without a letter is und. Other
+    columns are ignored, whatever their names; no rows, no result."""
     session_of(docs)
     out = held_out(F.col("doc_id"), 4, 2)
     profiles = learn_profiles(docs.filter(~out & F.col("doc_id").isNotNull()).select("text", "lang", F.col("doc_id").alias("key")), train_rows)
@@ -155,4 +160,7 @@ def drop_undetermined(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFram
     out = held_out(F.col("doc_id"), 4, 2)
     profiles = learn_profiles(docs.filter(~out & F.col("doc_id").isNotNull()).select("text", "lang", F.col("doc_id").alias("key")), train_rows)
     rows = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(_keep_determined(profiles, docs.columns.index("text")), docs.schema) if profiles else rows
+    if not profiles:
+        return rows
+    rows = rows.toDF(*[f"column_{i}" for i in range(len(docs.columns))])  # any names
+    return rows.mapInArrow(_keep_determined(profiles, docs.columns.index("text")), rows.schema).toDF(*docs.columns)
