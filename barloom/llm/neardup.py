@@ -29,6 +29,10 @@ PERCENT, PERCENT_OF = 75, 100
 _U = np.uint64
 #: Shingles that are min-hashed at once.
 _CHUNK = 16_384
+#: Pairs of one set, and members of one table key, that go to one task; more are dealt out, with a copy of the set's text for each part.
+HUB_PAIRS, KEY_MEMBERS = 256, 512
+#: Sets with more pairs than that, 16 bytes each, are broadcast up to this many; beyond it, they are joined by shuffle.
+BROADCAST_HUBS = 200_000
 
 
 def _band_keys(s: np.ndarray, a: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -98,11 +102,15 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return text.join(at, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x, y, both, any) of pairs(x, y) of nodes: sizes of the intersection and the union of their full sets."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
+    """(x, y, both, any) of stashed pairs(x, y) of nodes: sizes of the intersection and the union of their full sets."""
     texts = _texts(pairs.select(F.col("y").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct(), nodes, docs)
-    both = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("text_y")), "y")
-    both = both.join(texts.select(F.col("node").alias("x"), F.col("text").alias("text_x")), "x")
+    hubs = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("parts")).filter("parts > 1")
+    hubs = ws.stash(hubs)
+    hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_HUBS else hubs
+    dealt = pairs.join(hubs, "x", "left").select("x", "y", F.coalesce(F.pmod(F.xxhash64("y"), "parts"), F.lit(0)).alias("part"))
+    copies = texts.withColumnRenamed("node", "x").join(hubs, "x", "left").select("x", F.col("text").alias("text_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(texts.select(F.col("node").alias("y"), F.col("text").alias("text_y")), "y").join(copies, ["x", "part"])
     return map_batches(both.select("x", "y", "text_x", "text_y"), _jaccard, "x long, y long, both long, any long")
 
 
@@ -133,11 +141,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = table.join(hubs, "key").select("key", "i", "j", "node", "n_shingles", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
     fits = lambda m, n: PERCENT_OF * F.least(m, n) >= PERCENT * F.greatest(m, n)
     stars = members.filter("node <> hub").filter(fits(F.col("n_shingles"), F.col("hub_n"))).select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
-    tested = ws.stash(_verified(ws.stash(stars), nodes, docs))
+    tested = ws.stash(_verified(ws.stash(stars), nodes, docs, ws))
     linked = tested.filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
     comps = connected_components(linked, ws)
     more = ws.stash(_undecided(members, tested, comps, nodes, docs, ws))
-    again = _verified(more, nodes, docs).filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    again = _verified(more, nodes, docs, ws).filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
     owner = full.select("doc_id", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"])
     split = owner.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("top")).filter("src < top").select("doc_id", "src")
@@ -166,12 +174,12 @@ def _undecided(members: DataFrame, tested: DataFrame, comps: DataFrame, nodes: D
     comp = lambda as_: comps.select(F.col("node").alias(as_), F.col("comp").alias(f"{as_}_comp"))
     m = members.join(comp("node"), "node", "left").join(comp("hub"), "hub", "left")
     m = m.withColumn("c", F.coalesce("node_comp", "node")).withColumn("outside", F.col("c") != F.coalesce("hub_comp", "hub"))
-    open_keys = m.groupBy("key").agg(F.max("outside").alias("outside"), F.count(F.lit(1)).alias("many"), F.min("n_shingles").alias("least")).filter("outside and many > 2").select("key", "least")
+    open_keys = m.groupBy("key").agg(F.max("outside").alias("outside"), F.count(F.lit(1)).alias("many"), F.min("n_shingles").alias("least")).filter("outside and many > 2").select("key", "least", F.ceil(F.col("many") / KEY_MEMBERS).alias("parts"))
     dist = tested.select(F.col("x").alias("hub"), F.col("y").alias("node"), (1 - F.col("both") / F.col("any")).alias("far"), "both")
     m = m.join(open_keys, "key")
     asked = ws.stash(m.select("node").distinct())
     m = m.filter("node <> hub").join(dist, ["hub", "node"], "left").withColumn("far_least", F.coalesce("far", 1 - F.least("n_shingles", "hub_n") / F.greatest("n_shingles", "hub_n")))
-    m = ws.stash(m.select("key", "i", "j", "node", "n_shingles", "c", "far", "far_least", "outside", "least", "both", "hub_n"))
+    m = ws.stash(m.select("key", "i", "j", "node", "n_shingles", "c", "far", "far_least", "outside", "least", "both", "hub_n", "parts"))
     # Shingles that only one of the sets in question has: they count in a union, never in an intersection.
     found = map_batches(_texts(asked, nodes, docs), _shingles, "node long, shingle long")
     alone = found.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("many")).filter("many = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
@@ -184,11 +192,11 @@ def _undecided(members: DataFrame, tested: DataFrame, comps: DataFrame, nodes: D
     first = lambda side: F.array_position(F.zip_with(f"a.{side}", f"b.{side}", lambda x, y: x == y), True) - 1
     once = (first("a") == F.col("a.i")) & (first("b") == F.col("a.j"))
     can = lambda both, n, other: PERCENT_OF * both >= PERCENT * (n + other - both)
-    a = m.filter("outside").filter(can(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))).alias("a")
-    b = m.alias("b")
+    a = m.filter("outside").filter(can(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("a")
+    b = m.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).alias("b")
     limit = 1 - PERCENT / PERCENT_OF + 1e-9
     near = (F.coalesce(F.abs(F.col("a.far") - F.col("b.far")), F.lit(0.0)) <= limit) & (F.coalesce(F.col("a.far_least") - F.col("b.far"), F.lit(0.0)) <= limit) & (F.coalesce(F.col("b.far_least") - F.col("a.far"), F.lit(0.0)) <= limit)
     both = F.least(F.least("a.common", "b.common"), F.least("a.within", "b.within") + F.least("a.beyond", "b.beyond"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & can(both, F.col("a.n_shingles"), F.col("b.n_shingles")) & near & once)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.c") != F.col("b.c")) & can(both, F.col("a.n_shingles"), F.col("b.n_shingles")) & near & once)
     pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
     return pairs.join(tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
