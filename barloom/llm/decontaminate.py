@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.work import Workspace, session_of
+from barloom.llm.work import Workspace, column, session_of
 
 WINDOW = 10
 #: Runs of digits, a-z and everything outside ASCII, once A-Z are lower-cased.
@@ -90,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     cands = _candidates(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), width, slop, ws)
     added = ("n_words", "n_hit", "hit_items", "hits", "contaminated")
     keep = [c for c in docs.columns if c not in added]
-    both = docs.select(F.struct(*keep).alias("doc")).join(cands, F.col("doc.doc_id").eqNullSafe(F.col("cand_id")), "left")
+    both = docs.select(F.struct(*[column(c).alias(c) for c in keep]).alias("doc")).join(cands, F.col("doc.doc_id").eqNullSafe(F.col("cand_id")), "left")
     both = both.select("doc", "cands", tokens(F.col("doc.text")).alias("tokens"))
     if slop:
         inside = lambda c: F.slice("tokens", F.greatest(c["start"] - slop, F.lit(0)) + 1, c["len"] + 2 * slop)
@@ -102,5 +102,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     n_hit = F.coalesce(F.when(F.size("real") > 0, F.size(F.array_distinct(F.flatten(covered)))), F.lit(0)).cast("long")
     items = F.coalesce(F.when(F.size("real") > 0, F.array_sort(F.array_distinct(F.flatten(F.transform("real", lambda c: c["items"]))))), F.array().cast("array<string>"))
     hits = F.coalesce(F.transform("real", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["items"].alias("items"))), F.array().cast("array<struct<start:int,len:int,items:array<string>>>"))
-    out = both.select(*[F.col(f"doc.`{c}`").alias(c) for c in keep], F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), items.alias("hit_items"), hits.alias("hits"))
+    out = both.select(*[column(c, "doc").alias(c) for c in keep], F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), items.alias("hit_items"), hits.alias("hits"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.work import Workspace, session_of
+from barloom.llm.work import Workspace, column, session_of
 
 BLOCKS = 16
 #: Shorter lines are compared exactly: in a few characters, one edit is a different line.
@@ -102,15 +102,16 @@ def dedup_lines(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFr
     The added columns are n_lines and n_kept; columns of docs with these names are replaced, all others stay.
     """
     ws = Workspace(session_of(docs), "lines")
-    gone = dropped_lines(docs.select("doc_id", "text"), ws, min_near_chars).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.struct("pos", "h1")).alias("gone"))
+    gone = dropped_lines(docs.select("doc_id", "text"), ws, min_near_chars).groupBy(F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_set(F.struct("pos", "h1"))).alias("gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    both = docs.select(F.struct(*keep).alias("doc")).join(gone, F.col("doc.doc_id").eqNullSafe(F.col("gone_id")), "left")
-    parts = F.split(F.col("doc.text"), "\n")
-    kept = F.when(
-        F.col("gone").isNotNull(),
-        F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), F.struct(i.alias("pos"), F.xxhash64(F.trim(x)).alias("h1")))),
-    ).otherwise(parts)
-    both = both.withColumn("kept_lines", kept)
-    out = [F.when(F.col("doc.text").isNotNull(), F.array_join("kept_lines", "\n")).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in keep]
-    count = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
-    return both.select(*out, F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(count(parts)).cast("long").alias("n_lines"), F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(count(F.col("kept_lines"))).cast("long").alias("n_kept"))
+    both = docs.select(F.struct(*[column(c).alias(c) for c in keep]).alias("doc")).join(gone, F.col("doc.doc_id").eqNullSafe(F.col("gone_id")), "left")
+    both = both.select("doc", "gone", F.split(F.col("doc.text"), "\n").alias("parts"))
+    # Of the lines that go with this doc_id, those of this row: their places part the lines into stretches that stay.
+    line = lambda g: F.xxhash64(F.trim(F.get(F.col("parts"), g["pos"])))
+    here = F.transform(F.filter("gone", lambda g: (g["pos"] < F.size("parts")) & (line(g) == g["h1"])), lambda g: g["pos"])
+    both = both.select("doc", "parts", F.when(F.col("gone").isNotNull(), F.concat(F.array(F.lit(-1)), here, F.array(F.size("parts")))).alias("edges"))
+    stays = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda k: F.slice("parts", F.get(F.col("edges"), k - 1) + 2, F.get(F.col("edges"), k) - F.get(F.col("edges"), k - 1) - 1))
+    both = both.select("doc", "parts", F.when(F.col("edges").isNotNull(), F.flatten(stays)).otherwise(F.col("parts")).alias("kept_lines"))
+    out = [F.when(F.col("doc.text").isNotNull(), F.array_join("kept_lines", "\n")).alias(c) if c == "text" else column(c, "doc").alias(c) for c in keep]
+    count = lambda x: F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
+    return both.select(*out, count("parts").alias("n_lines"), count("kept_lines").alias("n_kept"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and runs on one machine, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
@@ -69,6 +70,11 @@ class Workspace:
             pass
 
 
+def column(name: str, of: str = "") -> Column:
+    """The column of that very name, whatever characters it has; of: of that struct."""
+    return F.col(f"{of}{'.' if of else ''}`{name.replace('`', '``')}`")
+
+
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """Arrow batches of df through make()(*columns as lists), which returns the columns of schema, each a list or an array.
 
