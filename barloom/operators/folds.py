@@ -135,29 +135,32 @@ def class_balance(members: DataFrame) -> DataFrame:
 
 
 def average_uniqueness(events: DataFrame, bars: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """events(symbol, d, event_end_date, *by) with concurrency-based uniqueness and weight (uniqueness over its mean in the group).
+    """events(event_id, symbol, d, event_end_date, *by) with concurrency-based uniqueness and weight (uniqueness over its mean in the group).
 
-    Each interval counts on its symbol's own trading days. Intervals aren't expanded into days: starts and ends are summed up along
-    the calendar, and the sum of 1 / concurrency over an interval is the difference of two running sums.
+    Each interval counts on its symbol's own trading days. Intervals aren't expanded into days: a start and an end row of each lie
+    in one order of places, concurrency is constant between two of them, and the sum of 1 / concurrency over an interval is the
+    difference of what stands at its end and at its start. All of it stays in the exchange by symbol.
     """
     keys = [*by, "symbol"]
-    cal = bars.select("symbol", "d", F.col("pos").alias("at"))
     if {"pos", "holding_period_observations"} <= set(events.columns):  # places are known already
-        e = events.withColumn("s", F.col("pos")).withColumn("e", F.col("pos") + F.col("holding_period_observations"))
+        e = events.withColumn("_s", F.col("pos").cast("long")).withColumn("_e", F.col("pos") + F.col("holding_period_observations") + 1)
     else:
-        e = events.join(cal, ["symbol", "d"]).withColumnRenamed("at", "s").join(cal.withColumnRenamed("d", "event_end_date"), ["symbol", "event_end_date"]).withColumnRenamed("at", "e")
-    steps = e.select(*keys, F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("step")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("step"))))).groupBy(*keys, "at").agg(F.sum("step").alias("step"))
-    groups = e.select(*keys).distinct()
-    w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    line = groups.join(cal.select("symbol", "at"), "symbol").join(steps, [*keys, "at"], "left")
-    line = line.withColumn("c", F.sum(F.coalesce("step", F.lit(0))).over(w)).withColumn("total", F.sum(F.when(F.col("c") > 0, 1.0 / F.col("c")).otherwise(0.0)).over(w)).select(*keys, "at", "total")
-    out = e.join(line.withColumnRenamed("at", "e").withColumnRenamed("total", "to"), [*keys, "e"])
-    out = out.withColumn("before", F.col("s") - 1).join(line.withColumnRenamed("at", "before").withColumnRenamed("total", "up_to"), [*keys, "before"], "left")
-    u = (F.col("to") - F.coalesce("up_to", F.lit(0.0))) / (F.col("e") - F.col("s") + 1)
-    out = out.withColumn("average_uniqueness", u)
+        cal = bars.select("symbol", "d", F.col("pos").cast("long").alias("_at"))
+        e = events.join(cal, ["symbol", "d"]).withColumnRenamed("_at", "_s").join(cal.withColumnRenamed("d", "event_end_date"), ["symbol", "event_end_date"]).withColumn("_e", F.col("_at") + 1).drop("_at")
+    own = [c for c in events.columns if c not in (*keys, "event_id")]
+    rest = F.struct(*own) if own else F.struct(F.lit(0).alias("_none"))
+    ends = F.array(F.struct(F.col("_s").alias("_at"), F.lit(1).alias("_step"), rest.alias("_rest")), F.struct(F.col("_e").alias("_at"), F.lit(-1).alias("_step"), F.lit(None).cast(dict(e.select(rest.alias("r")).dtypes)["r"]).alias("_rest")))
+    line = Window.partitionBy(*keys).orderBy("_at")
+    t = e.select(*keys, "event_id", F.inline(ends))
+    t = t.withColumn("_c", F.sum("_step").over(line.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.lead("_at").over(line))
+    t = t.withColumn("_share", F.when(F.col("_c") > 0, (F.col("_next") - F.col("_at")) / F.col("_c")).otherwise(0.0)).withColumn("_sum", F.coalesce(F.sum("_share").over(line.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    start = F.col("_step") == 1
+    told = lambda c, when: F.max(F.when(when, F.col(c)))
+    t = t.groupBy(*keys, "event_id").agg(F.first("_rest", ignorenulls=True).alias("_rest"), ((told("_sum", ~start) - told("_sum", start)) / (told("_at", ~start) - told("_at", start))).alias("average_uniqueness"))
+    out = t.select(*keys, "event_id", *[F.col(f"_rest.{c}").alias(c) for c in own], "average_uniqueness").select(*events.columns, "average_uniqueness")
     mean = out.groupBy(*by).agg(F.avg("average_uniqueness").alias("mean_uniqueness"))  # a row for each group, such as a fold
     out = out.join(F.broadcast(mean), list(by)) if by else out.join(F.broadcast(mean))
-    return out.withColumn("sample_weight", F.col("average_uniqueness") / F.col("mean_uniqueness")).drop("s", "e", "before", "to", "up_to", "mean_uniqueness")
+    return out.withColumn("sample_weight", F.col("average_uniqueness") / F.col("mean_uniqueness")).drop("mean_uniqueness")
 
 
 def kish(weight: Column | str = "sample_weight") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import finite, finite_positive
@@ -37,48 +37,60 @@ class Barriers:
 SCENARIOS = (Barriers(), Barriers("tight_stop", 0.15, -0.10), Barriers("short", 0.10, -0.10, 15), Barriers("touchy", 0.02, -0.02, 5))
 
 
-def triple_barrier(bars: DataFrame, p: Barriers = Barriers(), *, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """bars with label columns. Each bar looks at the next `horizon` bars of its own group only.
-
-    The forward bars are gathered in one window frame, so labels take the exchange that the group's other windows use;
-    the first bar that is invalid or touches a barrier decides, and the lower barrier wins a double touch.
-    """
-    require_columns(bars, (*by, "d", p.entry, p.high, p.low))
+def _ahead(bars: DataFrame, horizon: int, entry: str, high: str, low: str, by: tuple[str, ...]) -> DataFrame:
+    """bars with _next, the next bars of the same group, and _last, the group's last day."""
+    bar = F.struct(F.col("d").alias("d"), F.col(high).alias("h"), F.col(low).alias("l"), F.col(entry).alias("c"))
     w = Window.partitionBy(*by).orderBy("d")
-    ahead = w.rowsBetween(1, p.horizon)
-    bar = F.struct(F.col("d").alias("d"), F.col(p.high).alias("h"), F.col(p.low).alias("l"))
-    start = bars.withColumn("_next", F.collect_list(bar).over(ahead)).withColumn("_there", F.lead(p.entry, p.horizon).over(w)).withColumn("_end", F.lead("d", p.horizon).over(w)).withColumn("_last", F.max("d").over(Window.partitionBy(*by)))
-    up, down, entry = F.col(p.entry) * (1.0 + p.upper), F.col(p.entry) * (1.0 + p.lower), F.col(p.entry)
+    return bars.withColumn("_next", F.collect_list(bar).over(w.rowsBetween(1, horizon))).withColumn("_last", F.max("d").over(Window.partitionBy(*by)))
+
+
+def _first_hit(p: Barriers) -> Column:
+    """Of the next bars, the first that is invalid or touches a barrier: (n, d, bad, up, down)."""
+    up, down = F.col(p.entry) * (1.0 + p.upper), F.col(p.entry) * (1.0 + p.lower)
     bad = lambda x: ~(finite_positive(x["h"]) & finite_positive(x["l"])) | (x["h"] < x["l"])
-    hits = F.filter(F.transform("_next", lambda x, i: F.struct((i + 1).alias("n"), x["d"].alias("d"), bad(x).alias("bad"), F.coalesce(x["h"] >= up, F.lit(False)).alias("up"), F.coalesce(x["l"] <= down, F.lit(False)).alias("down"))), lambda x: x["bad"] | x["up"] | x["down"])
-    s = start.withColumn("_hit", F.try_element_at(hits, F.lit(1))).withColumn("_avail", F.size("_next")).withColumn("_entry_ok", finite_positive(p.entry))
-    hit, full = F.col("_hit"), F.col("_avail") >= p.horizon
-    touched = F.col("_entry_ok") & hit.isNotNull() & ~hit["bad"]
+    told = F.transform(F.slice("_next", 1, p.horizon), lambda x, i: F.struct((i + 1).alias("n"), x["d"].alias("d"), bad(x).alias("bad"), F.coalesce(x["h"] >= up, F.lit(False)).alias("up"), F.coalesce(x["l"] <= down, F.lit(False)).alias("down")))
+    return F.try_element_at(F.filter(told, lambda x: x["bad"] | x["up"] | x["down"]), F.lit(1))
+
+
+def _judged(p: Barriers, hit: Column) -> dict[str, Column]:
+    """Label columns of the bar whose first hit is given; the lower barrier wins a double touch."""
+    up, down, entry, ok = F.col(p.entry) * (1.0 + p.upper), F.col(p.entry) * (1.0 + p.lower), F.col(p.entry), finite_positive(p.entry)
+    avail = F.least(F.size("_next"), F.lit(p.horizon))
+    there, end = F.try_element_at("_next", F.lit(p.horizon))["c"], F.try_element_at("_next", F.lit(p.horizon))["d"]
+    full, hits = avail >= p.horizon, hit.isNotNull()
+    touched, vertical = ok & hits & ~hit["bad"], ok & ~hits & full & finite_positive(there)
     status = (
-        F.when(~F.col("_entry_ok"), "invalid_entry_price").when(hit.isNotNull() & hit["bad"], "invalid_monitoring_price").when(hit.isNotNull(), "labeled")
-        .when(~full, "right_censored").when(~finite_positive("_there"), "invalid_vertical_price").otherwise("labeled")
+        F.when(~ok, "invalid_entry_price").when(hits & hit["bad"], "invalid_monitoring_price").when(hits, "labeled")
+        .when(~full, "right_censored").when(~finite_positive(there), "invalid_vertical_price").otherwise("labeled")
     )
-    s = s.withColumn("label_status", status)
-    vertical = (F.col("label_status") == "labeled") & hit.isNull()
-    there = F.when(vertical, F.col("_there") / entry - 1.0)
-    barrier = F.when(touched & hit["down"], "lower").when(touched, "upper").when(vertical, "vertical").otherwise("none")
-    ret = F.when(touched & hit["down"], F.lit(p.lower)).when(touched, F.lit(p.upper)).otherwise(there)
-    out = s.withColumns({
+    earned = F.when(vertical, there / entry - 1.0)
+    return {
+        "label_status": status,
         "event_start_date": F.col("d"),
-        "event_end_date": F.when(~F.col("_entry_ok"), F.col("d")).when(hit.isNotNull(), hit["d"]).when(full, F.col("_end")).otherwise(F.col("_last")),
-        "holding_period_observations": F.when(~F.col("_entry_ok"), 0).when(hit.isNotNull(), hit["n"]).when(full, p.horizon).otherwise(F.col("_avail")).cast("int"),
-        "barrier_touched": barrier,
-        "event_return": ret,
-        "event_price": F.when(touched & hit["down"], down).when(touched, up).when(vertical, F.col("_there")),
-        "label": F.when(touched & hit["down"], 0).when(touched, 1).when(vertical, (there > 0).cast("int")).cast("int"),
+        "event_end_date": F.when(~ok, F.col("d")).when(hits, hit["d"]).when(full, end).otherwise(F.col("_last")),
+        "holding_period_observations": F.when(~ok, 0).when(hits, hit["n"]).when(full, p.horizon).otherwise(avail).cast("int"),
+        "barrier_touched": F.when(touched & hit["down"], "lower").when(touched, "upper").when(vertical, "vertical").otherwise("none"),
+        "event_return": F.when(touched & hit["down"], F.lit(p.lower)).when(touched, F.lit(p.upper)).otherwise(earned),
+        "event_price": F.when(touched & hit["down"], down).when(touched, up).when(vertical, there),
+        "label": F.when(touched & hit["down"], 0).when(touched, 1).when(vertical, (earned > 0).cast("int")).cast("int"),
         "same_bar_double_touch": F.coalesce(touched & hit["down"] & hit["up"], F.lit(False)),
-        "eligible_for_modeling": F.col("label_status") == "labeled",
+        "eligible_for_modeling": touched | vertical,
         "full_horizon_available": full,
-        "censoring_reason": F.when(F.col("label_status") == "right_censored", "insufficient_future_observations").otherwise(""),
-        "upper_barrier_price": F.when(F.col("_entry_ok"), up),
-        "lower_barrier_price": F.when(F.col("_entry_ok"), down),
-    })
-    return out.drop("_next", "_there", "_end", "_last", "_hit", "_avail", "_entry_ok")
+        "censoring_reason": F.when(ok & ~hits & ~full, "insufficient_future_observations").otherwise(""),
+        "upper_barrier_price": F.when(ok, up),
+        "lower_barrier_price": F.when(ok, down),
+    }
+
+
+def triple_barrier(bars: DataFrame, p: Barriers = Barriers(), *, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """bars with label columns. Each bar looks at the next `horizon` bars of its own group only.
+
+    The forward bars are gathered in one window frame, so labels take the exchange that the group's other windows use;
+    the first bar that is invalid or touches a barrier decides, and the lower barrier wins a double touch.
+    """
+    require_columns(bars, (*by, "d", p.entry, p.high, p.low))
+    t = _ahead(bars, p.horizon, p.entry, p.high, p.low, by).withColumn("_hit", _first_hit(p))
+    return t.withColumns(_judged(p, F.col("_hit"))).drop("_next", "_last", "_hit")
 
 
 def modeling_sample(labeled: DataFrame) -> DataFrame:
@@ -132,13 +144,15 @@ def event_end_integrity(labeled: DataFrame, horizon: int, *by: str) -> DataFrame
 
 
 def all_scenarios(bars: DataFrame, scenarios: tuple[Barriers, ...] = SCENARIOS) -> DataFrame:
-    """Labels of every scenario, one below the other; bars are dealt out by symbol once for all."""
-    keep = ["scenario", "symbol", "d", "label", "label_status", "barrier_touched", "same_bar_double_touch", "eligible_for_modeling", "holding_period_observations"]
-    parts = [triple_barrier(bars, p).withColumn("scenario", F.lit(p.name)).select(*keep) for p in scenarios]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Labels of every scenario, one below the other. The longest window is gathered once, and all scenarios are judged on it."""
+    first = scenarios[0]
+    if {(p.entry, p.high, p.low) for p in scenarios} != {(first.entry, first.high, first.low)}:
+        raise ValueError("scenarios of one run share their price columns")
+    keep = ["label", "label_status", "barrier_touched", "same_bar_double_touch", "eligible_for_modeling", "holding_period_observations"]
+    t = _ahead(bars, max(p.horizon for p in scenarios), first.entry, first.high, first.low, ("symbol",))
+    t = t.withColumns({f"_hit_{i}": _first_hit(p) for i, p in enumerate(scenarios)})
+    told = [F.struct(F.lit(p.name).alias("scenario"), *[c.alias(n) for n, c in _judged(p, F.col(f"_hit_{i}")).items() if n in keep]) for i, p in enumerate(scenarios)]
+    return t.select("symbol", "d", F.inline(F.array(*told))).select("scenario", "symbol", "d", *keep)
 
 
 def scenario_by_year(labels: DataFrame) -> DataFrame:

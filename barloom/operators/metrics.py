@@ -15,25 +15,43 @@ def _div(a: Column, b: Column, zero: float | None = None) -> Column:
     return out if zero is None else F.coalesce(out, F.lit(zero))
 
 
+#: Stretches of the unit interval along which ordered passes over scores are dealt out.
+STRETCHES = 4096
+
+
+def _stretch(p: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(STRETCHES - 1), F.floor(p * STRETCHES))).cast("int")
+
+
+def _before(rows: DataFrame, by: tuple[str, ...], sums: dict[str, str]) -> DataFrame:
+    """(*by, stretch, and for each name the sum of its column over lower stretches, and over all as all_<name>): a few thousand rows a group."""
+    each = rows.groupBy(*by, "stretch").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    low = group.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    told = [F.coalesce(F.sum(f"_{n}").over(low), F.lit(0)).alias(n) for n in sums] + [F.sum(f"_{n}").over(group).alias(f"all_{n}") for n in sums]
+    return each.select(*by, "stretch", *told)
+
+
 def classification_metrics(rows: DataFrame, *by: str, label: str = "label", p: str = "p", threshold: float = 0.5) -> DataFrame:
     """ROC AUC (average ranks), average precision (step rule), log loss, Brier score and the threshold metrics, for each group.
 
-    Rows are first counted by score, so the ordered passes see each distinct score once.
+    Rows are first counted by score; all figures come from these counts. The ordered passes go along stretches of scores, each on
+    from the sums of those before, so no task takes a whole group.
     """
-    y = F.col(label)
-    hit = F.col(p) >= threshold
-    base = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(y == 1).alias("positives"), F.count_if(y == 0).alias("negatives"),
-        F.avg(-F.log(F.when(y == 1, clip(F.col(p), EPS, 1 - EPS)).otherwise(1.0 - clip(F.col(p), EPS, 1 - EPS)))).alias("log_loss"), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier_score"),
-        F.count_if(hit & (y == 1)).cast("double").alias("tp"), F.count_if(hit & (y == 0)).cast("double").alias("fp"), F.count_if(~hit & (y == 0)).cast("double").alias("tn"), F.count_if(~hit & (y == 1)).cast("double").alias("fn"),
+    y, x = F.col(label), F.col("p")
+    scores = rows.groupBy(*by, F.col(p).cast("double").alias("p")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count(F.lit(1)).alias("n")).withColumn("stretch", _stretch(F.col("p")))
+    before = F.broadcast(_before(scores, by, {"low_n": "n", "low_pos": "pos"}))
+    s = scores.join(before, [*by, "stretch"])
+    up = Window.partitionBy(*by, "stretch").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumns({"upto": F.col("low_n") + F.sum("n").over(up), "pos_upto": F.col("low_pos") + F.sum("pos").over(up)})
+    s = s.withColumns({"tops": F.col("all_low_pos") - F.col("pos_upto") + F.col("pos"), "all": F.col("all_low_n") - F.col("upto") + F.col("n")})
+    pos, neg, q, hit = F.col("pos"), F.col("neg"), clip(x, EPS, 1 - EPS), x >= threshold
+    t = s.groupBy(*by).agg(
+        F.sum("n").alias("rows"), F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"),
+        (-F.sum(pos * F.log(q) + neg * F.log(1.0 - q)) / F.sum("n")).alias("log_loss"), (F.sum(pos * (1.0 - x) * (1.0 - x) + neg * x * x) / F.sum("n")).alias("brier_score"),
+        *[F.coalesce(F.sum(F.when(c, k)), F.lit(0)).cast("double").alias(name) for name, c, k in (("tp", hit, pos), ("fp", hit, neg), ("tn", ~hit, neg), ("fn", ~hit, pos))],
+        F.sum(pos * (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0)).alias("rank_sum"), F.sum(_div(pos, F.col("all_low_pos"), 0.0) * F.col("tops") / F.col("all")).alias("average_precision"),
     )
-    scores = rows.groupBy(*by, F.col(p).alias("p")).agg(F.count_if(y == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*by)
-    low, high = group.orderBy("p").rowsBetween(Window.unboundedPreceding, 0), group.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    s = scores.withColumns({"upto": F.sum("n").over(low), "tops": F.sum("pos").over(high), "all": F.sum("n").over(high), "P": F.sum("pos").over(group)})
-    mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0
-    curves = s.groupBy(*by).agg(F.sum(F.col("pos") * mean_rank).alias("rank_sum"), F.sum(_div(F.col("pos"), F.col("P"), 0.0) * F.col("tops") / F.col("all")).alias("average_precision"))
-    t = base.join(curves, list(by)) if by else base.join(F.broadcast(curves))
     P, N, tp, fp, tn, fn = (F.col(c) for c in ("positives", "negatives", "tp", "fp", "tn", "fn"))
     sens, spec = _div(tp, tp + fn, 0.0), _div(tn, tn + fp, 0.0)
     root = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
@@ -44,9 +62,13 @@ def classification_metrics(rows: DataFrame, *by: str, label: str = "label", p: s
 
 
 def calibration_error(rows: DataFrame, *by: str, label: str = "label", p: str = "p", order: str = "event_id", bins: int = 10) -> DataFrame:
-    """Expected calibration error over bins of equal size; ties of p fall in the order of `order`."""
-    w = Window.partitionBy(*by).orderBy(p, order) if by else Window.partitionBy(F.lit(0)).orderBy(p, order)
-    b = rows.withColumn("bin", F.ntile(bins).over(w)).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("y"), F.avg(p).alias("q"))
+    """Expected calibration error over bins of equal size; ties of p fall in the order of `order`. Rows are placed along stretches of p."""
+    t = rows.select(*by, F.col(p).alias("_p"), F.col(label).cast("double").alias("_y"), F.col(order).alias("_o"), _stretch(F.col(p)).alias("stretch"), F.lit(1).alias("_n"))
+    t = t.join(F.broadcast(_before(t, by, {"low": "_n"})), [*by, "stretch"])
+    at = F.col("low") + F.row_number().over(Window.partitionBy(*by, "stretch").orderBy("_p", "_o")) - 1
+    size, more = F.floor(F.col("all_low") / bins), F.col("all_low") % bins  # the first bins have one row more
+    t = t.withColumn("_at", at).withColumn("bin", F.when(F.col("_at") < more * (size + 1), F.floor(F.col("_at") / (size + 1))).otherwise(more + F.floor((F.col("_at") - more * (size + 1)) / F.greatest(size, F.lit(1)))))
+    b = t.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("y"), F.avg("_p").alias("q"))
     return b.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("y") - F.col("q"))) / F.sum("n")).alias("ece"))
 
 

@@ -167,7 +167,7 @@ _OUT_ROUND = dict.fromkeys(("win_rate", "mean_return", "median_return", "std_ret
 
 
 def _outcomes(spark, sf):
-    t = L.forward_outcomes(V.labels(spark, sf)).filter("pos % 3 = 0")
+    t = L.forward_outcomes(V.labels(spark, sf))
     return t.withColumn("meta_label", F.col("label")).withColumn("score", V.pseudo_score()).withColumn("event_id", V.event_id())
 
 
@@ -583,9 +583,9 @@ def yearly_variants(spark, sf):
     return longs(rounded(R.on_grid(t, R.variant_grid(p, [1998, 1999, 2000, 2001]), ["variant", "scope", "year"])))
 
 
-_LEFT, _RIGHT = ["raw_breadth", "breadth_ema"], ["market_return_1", "market_volatility_20", "market_drawdown_60"]
+_LEFT, _RIGHT = ["raw_breadth", "breadth_ema", "breadth_slope"], list(P.MARKET_FEATURES)
 _CORR = """
-dl AS MATERIALIZED (SELECT br.d, raw_breadth, breadth_ema, market_return_1, market_volatility_20, market_drawdown_60, CASE WHEN br.d <= DATE '1999-12-31' THEN 'train' WHEN br.d <= DATE '2001-06-30' THEN 'unseen_test' ELSE 'gap' END part FROM br JOIN market ON market.d = br.d),
+dl AS MATERIALIZED (SELECT br.d, """ + ", ".join([*_LEFT, *_RIGHT]) + """, CASE WHEN br.d <= DATE '1999-12-31' THEN 'train' WHEN br.d <= DATE '2001-06-30' THEN 'unseen_test' ELSE 'gap' END part FROM br JOIN market ON market.d = br.d),
 sp AS (SELECT part scope, * FROM dl WHERE part <> 'gap' UNION ALL SELECT 'full', * FROM dl),
 lr AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT scope, '{a}' breadth_feature, '{b}' market_feature, {a} x, {b} y FROM sp WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a in _LEFT for b in _RIGHT) + ")"
 
@@ -610,10 +610,10 @@ def corr_spearman(spark, sf):
 # --- sets and audits --------------------------------------------------------------------------------------------------------------
 
 
-@query(Q.with_(*Q.BE) + "SELECT CAST(0 AS BIGINT) only_left, (SELECT count(*) FROM ev WHERE pos % 2 = 1) only_right")
+@query(Q.with_(*Q.BE) + "SELECT count(*) FILTER (barrier_touched = 'upper') only_left, count(*) FILTER (barrier_touched = 'vertical') only_right FROM ev")
 def semi_anti_population(spark, sf):
     ev = V.events(spark, sf)
-    return E.population_difference(ev.filter("pos % 2 = 0"), ev, ["event_id"])
+    return E.population_difference(ev.filter("barrier_touched in ('upper', 'lower')"), ev.filter("barrier_touched in ('lower', 'vertical')"), ["event_id"])
 
 
 @query("""WITH a AS (SELECT DISTINCT CAST(l_shipdate AS DATE) d FROM lineitem), b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) d FROM orders)

@@ -67,9 +67,17 @@ def _scenarios(spark, sf):
     return T.scenario_grid(spark, _capitals(spark, sf))
 
 
-def _ledger(spark, sf, scenarios=None):
-    bars = B.market_history(V.bars(spark, sf))
-    return T.simulate(_scenarios(spark, sf) if scenarios is None else scenarios, T.execution_plan(_signals(spark, sf), bars), bars)
+#: Shares in a unit of a bar's volume: quantities of trade lines are lots, so that a lot of a portfolio is a small part of a day's trade.
+LOT_SHARES = 1000
+
+
+def _history(spark, sf):
+    return B.market_history(V.bars(spark, sf).withColumn("traded_value", F.col("traded_value") * LOT_SHARES))
+
+
+def _ledger(spark, sf):
+    bars = _history(spark, sf)
+    return T.simulate(_scenarios(spark, sf), T.execution_plan(_signals(spark, sf), bars), bars)
 
 
 @query()
@@ -87,11 +95,9 @@ def portfolio_daily(spark, sf):
     return T.part_of(_ledger(spark, sf), "day", ["d", "cash", "market_value", "equity", "open_risk", "open_lots", "open_symbols", "protected_lots", "new_lots"])
 
 
-@query(Q.with_(*Q.BE, _PLAN) + """SELECT 'capital_primary__slip_' || slip || '__' || structure || '__' || exit_style scenario_id, (SELECT count(*) FROM plans WHERE plan_error IS NULL) signals_decided, CAST(0 AS BIGINT) entry_constraint_violations, CAST(0 AS BIGINT) negative_cash_events, CAST(0 AS BIGINT) protected_lot_nonzero_planned_risk_events, true closed
-FROM (VALUES ('0bp'), ('20bp')) s(slip), (VALUES ('multi_lot'), ('single_lot')) p(structure), (VALUES ('trailing'), ('fixed_take_profit')) e(exit_style)""")
+@query(Q.with_(*Q.BE, _PLAN, _CUSTOMERS, _ANCHOR, _GRID) + "SELECT scenario_id, (SELECT count(*) FROM plans WHERE plan_error IS NULL) signals_decided, CAST(0 AS BIGINT) entry_constraint_violations, CAST(0 AS BIGINT) negative_cash_events, CAST(0 AS BIGINT) protected_lot_nonzero_planned_risk_events, true closed FROM gd")
 def portfolio_integrity(spark, sf):
-    # The eight scenarios that its SQL names, of 48.
-    t = T.portfolio_integrity(_ledger(spark, sf, _scenarios(spark, sf).filter("capital = 'primary' and slippage in (0.0D, 0.002D)")))
+    t = T.portfolio_integrity(_ledger(spark, sf))
     return longs(t.select("scenario_id", "signals_decided", "entry_constraint_violations", "negative_cash_events", "protected_lot_nonzero_planned_risk_events", (F.col("accepted_signals") == F.col("closed_trades")).alias("closed")))
 
 

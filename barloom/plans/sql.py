@@ -36,7 +36,7 @@ def labels(up: float = 0.15, down: float = -0.15, h: int = 30, name: str = "lab"
 
 EVENTS = """
 ev AS MATERIALIZED (SELECT CAST(symbol AS VARCHAR) || '::' || strftime(d, '%Y-%m-%d') event_id, symbol, d, pos, event_end_date, "label" meta_label, event_return, barrier_touched, holding, c,
-  CAST((symbol * 7919 + pos * 104729) % 10007 AS DOUBLE) / 10007.0::DOUBLE score FROM lab WHERE eligible AND pos % 3 = 0)"""
+  CAST((symbol * 7919 + pos * 104729) % 10007 AS DOUBLE) / 10007.0::DOUBLE score FROM lab WHERE eligible)"""
 
 
 def _folds(k: int = 5) -> str:
@@ -108,8 +108,8 @@ MARKET = IDX + "," + ema("ie", "idx", "", "d", "ic", {"fast": 20, "slow": 60}) +
 mk0 AS (SELECT idx.*, ln(ic / lag(ic) OVER (ORDER BY d)) lr, ic / lag(ic, 1) OVER (ORDER BY d) - 1 r1, ic / lag(ic, 5) OVER (ORDER BY d) - 1 r5, ic / lag(ic, 20) OVER (ORDER BY d) - 1 r20 FROM idx),
 market AS MATERIALIZED (SELECT mk0.d, r1 market_return_1, r5 market_return_5, r20 market_return_20,
   CASE WHEN count(lr) OVER (ORDER BY mk0.d ROWS 19 PRECEDING) = 20 THEN stddev_pop(lr) OVER (ORDER BY mk0.d ROWS 19 PRECEDING) END market_volatility_20,
-  (ic - fast) / fast market_ema_20_distance, (ic - slow) / slow market_ema_60_distance, CASE WHEN ih >= il AND ic BETWEEN il AND ih THEN (ih - il) / ic END market_range_fraction,
-  CASE WHEN ih > il AND ic BETWEEN il AND ih THEN (2.0::DOUBLE * ic - ih - il) / (ih - il) WHEN ih = il AND ic = il THEN coalesce(sign(r1), 0) END market_close_location,
+  (ic - fast) / ic market_ema_20_distance, (ic - slow) / ic market_ema_60_distance, CASE WHEN ih >= il AND ic BETWEEN il AND ih THEN (ih - il) / ic END market_range_fraction,
+  CASE WHEN ih > il AND ic BETWEEN il AND ih THEN (ic - il) / (ih - il) WHEN ih = il AND ic = il THEN CASE WHEN r1 > 0 THEN 1.0::DOUBLE WHEN r1 < 0 THEN 0.0::DOUBLE END END market_close_location,
   CASE WHEN count(ic) OVER (ORDER BY mk0.d ROWS 59 PRECEDING) = 60 THEN ic / max(ic) OVER (ORDER BY mk0.d ROWS 59 PRECEDING) - 1 END market_drawdown_60
   FROM mk0 JOIN ie ON ie.d = mk0.d)"""
 

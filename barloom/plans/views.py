@@ -43,8 +43,8 @@ def event_id() -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third eligible bar as an event with its interval, label, return and score."""
-    t = labels(spark, sf_dir).filter("eligible_for_modeling and pos % 3 = 0")
+    """Every eligible bar as an event with its interval, label, return and score."""
+    t = labels(spark, sf_dir).filter("eligible_for_modeling")
     return t.select(event_id().alias("event_id"), "symbol", "d", "pos", "event_end_date", F.col("label").alias("meta_label"), "event_return", "barrier_touched", "holding_period_observations", pseudo_score().alias("score"))
 
 
