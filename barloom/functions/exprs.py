@@ -101,8 +101,8 @@ def logit(p: str | Column, eps: float = 1e-6) -> Column:
 
 
 def stem(path: str | Column, suffixes: Iterable[str] = ()) -> Column:
-    """File name without directory, extension and the longest of the given suffixes that it has."""
-    s = F.regexp_extract(col(path), r"([^/]+?)(\.[A-Za-z0-9]+)*$", 1)
+    """File name without directory, its last extension and the longest of the given suffixes that it has."""
+    s = F.regexp_extract(col(path), r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)
     ends = "|".join(sorted(suffixes, key=lambda x: (-len(x), x)))
     return F.regexp_replace(s, f"({ends})$", "") if ends else s
 

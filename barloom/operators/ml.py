@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import logit
 from barloom.operators.metrics import probability_metrics
-from barloom.operators.policy import near_best_ranking
+from barloom.operators.policy import daily_top_fraction, near_best_ranking
+from barloom.sources.files import append_trials, stored_trials
 
 
 def fit_fills(train: DataFrame, numeric: list[str], categorical: list[str] = (), scale: bool = False) -> dict:
@@ -120,18 +121,30 @@ def sample_trial(kind: str, history: list[tuple[dict, float]], seed: int, startu
     return max((draw() for _ in range(candidates)), key=lambda p: density(p, ranked[:cut]) - density(p, ranked[cut:] or ranked))
 
 
-def search(members: DataFrame, folds: list[int], kind: str, numeric: list[str], categorical: list[str] = (), trials: int = 30, seed: int = 1729) -> DataFrame:
-    """(trial, params, mean_auc, min_auc, std_auc, in_band, selection_rank, chosen) of a finished study; all trials complete."""
+_TRIAL = "trial long, params string, mean_auc double, min_auc double, std_auc double"
+
+
+def search(members: DataFrame, folds: list[int], kind: str, numeric: list[str], categorical: list[str] = (), trials: int = 30, seed: int = 1729, store: str | None = None) -> DataFrame:
+    """(trial, params, mean_auc, min_auc, std_auc, in_band, selection_rank, chosen) of a finished study; all trials complete.
+
+    With a store, each trial is added to its table as it ends, and a study that was broken off goes on after the last one.
+    """
     from barloom.operators.metrics import classification_metrics, fold_auc_summary
 
-    history, rows = [], []
-    for i in range(trials):
+    spark = members.sparkSession
+    rows = [tuple(r) for r in stored_trials(spark, store).orderBy("trial").collect()] if store else []
+    if [r[0] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"{store} isn't one study: trials {[r[0] for r in rows]}")
+    history = [(json.loads(r[1]), r[2]) for r in rows]
+    for i in range(len(rows), trials):
         params = sample_trial(kind, history, seed)
         oof = out_of_fold(members, folds, kind, numeric, categorical, **params)
         s = fold_auc_summary(classification_metrics(oof, "fold_id", label="meta_label").withColumn("m", F.lit(0)), "m").first()
         history.append((params, s.mean_auc))
         rows.append((i, json.dumps(params, sort_keys=True), s.mean_auc, s.min_auc, s.std_auc))
-    return near_best_ranking(members.sparkSession.createDataFrame(rows, "trial long, params string, mean_auc double, min_auc double, std_auc double"))
+        if store:
+            append_trials(spark.createDataFrame(rows[-1:], _TRIAL), store)
+    return near_best_ranking(spark.createDataFrame(rows, _TRIAL))
 
 
 def calibrate(kind: str, train: DataFrame, apply: DataFrame, label: str = "meta_label", p: str = "p") -> DataFrame:
@@ -174,3 +187,19 @@ def save_checked(model: PipelineModel, path: str, probe: DataFrame, key: str, to
     if worst > tolerance:
         raise ValueError(f"reloaded model differs by {worst}")
     return worst
+
+
+def fitted_feature_names(model: PipelineModel) -> list[str]:
+    """Names of the fitted vector's entries in order: numeric columns, then one for each value of a categorical one."""
+    values = {out: labels for stage in model.stages if hasattr(stage, "labelsArray") for out, labels in zip(stage.getOutputCols(), stage.labelsArray)}
+    hot = {v: i for stage in model.stages if stage.hasParam("dropLast") for i, v in zip(stage.getInputCols(), stage.getOutputCols())}
+    inputs = next(stage for stage in model.stages if isinstance(stage, VectorAssembler)).getInputCols()
+    return [n for c in inputs for n in ([f"{c.removesuffix('_v')}_{x}" for x in (*values[hot[c]], "other")] if c in hot else [c])]
+
+
+def frozen_scores(model: PipelineModel, fills: dict, candidates: DataFrame, *, fraction: float = 0.05, minimum: int = 1) -> DataFrame:
+    """What may be locked of candidates scored by a frozen model: identity, score, rank, quota, cutoff and selection, and no outcome."""
+    from barloom.operators.governance import LOCK_COLUMNS
+
+    scored = model.transform(apply_fills(candidates, fills)).select("event_id", "symbol", "d", vector_to_array("probability")[1].alias("score"))
+    return daily_top_fraction(scored, fraction=fraction, minimum=minimum).select(*LOCK_COLUMNS)

@@ -16,6 +16,7 @@ from barloom.operators import folds as K
 from barloom.operators import labeling as L
 from barloom.operators import metrics as M
 from barloom.operators import policy as S
+from barloom.operators import signals as N
 from barloom.operators import zigzag as Z
 from barloom.operators.sequence import calendar, date_gaps, exponential_means
 from barloom.plans import sql as Q
@@ -607,6 +608,77 @@ def corr_spearman(spark, sf):
     return rounded(M.correlations(_daily(spark, sf), _LEFT, _RIGHT, method="spearman"), 4)
 
 
+# --- filtered signals -------------------------------------------------------------------------------------------------------------
+
+
+_AGAIN = """
+lk AS MATERIALIZED (SELECT *, (symbol + pos) % 5 started, row_number() OVER (PARTITION BY d ORDER BY score DESC, symbol, event_id) <= least(count(*) OVER (PARTITION BY d), greatest(1, ceil(0.05::DOUBLE * count(*) OVER (PARTITION BY d)))) was FROM ev),
+ag0 AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, symbol, event_id) rk, count(*) OVER (PARTITION BY d) n FROM lk WHERE started <> 0),
+ag AS MATERIALIZED (SELECT *, CAST(least(n, greatest(1, ceil(0.05::DOUBLE * n))) AS BIGINT) quota FROM ag0)"""
+
+
+def _started(spark, sf):
+    """Locked candidates with started, a small number of their symbol and day."""
+    ev = V.events(spark, sf)
+    return N.with_started(S.daily_top_fraction(ev), ev.select("symbol", "d", ((F.col("symbol") + F.col("pos")) % 5).alias("started")))
+
+
+@query(Q.with_(*Q.BE, _AGAIN) + "SELECT event_id, was AS locked_selected, n AS daily_candidate_count, rk AS daily_rank, quota AS daily_signal_quota, rk <= quota AS selected FROM ag")
+def filtered_rerank(spark, sf):
+    t = N.filter_then_rerank(_started(spark, sf), N.nonzero())
+    return longs(t.select("event_id", "locked_selected", "daily_candidate_count", "daily_rank", "daily_signal_quota", "selected"))
+
+
+@query(Q.rnd(Q.with_(*Q.BE, _AGAIN) + """SELECT d, locked_candidates, kept_candidates, locked_signals, coalesce(signals, 0) signals, score_cutoff, kept_candidates = 0 day_without_candidates
+FROM (SELECT d, count(*) locked_candidates, count(*) FILTER (started <> 0) kept_candidates, count(*) FILTER (was) locked_signals FROM lk GROUP BY d) LEFT JOIN (SELECT d, count(*) signals, min(score) score_cutoff FROM ag WHERE rk <= quota GROUP BY d) USING (d)""", score_cutoff=6))
+def rerank_date_audit(spark, sf):
+    locked = _started(spark, sf)
+    return rounded(N.rerank_audit(locked, N.nonzero(), N.filter_then_rerank(locked, N.nonzero())))
+
+
+@query(Q.with_(*Q.BE, _AGAIN) + """SELECT symbol, count(*) joined_events, count(*) FILTER (started = 0) started_equal_zero, count(*) FILTER (started <> 0) started_nonzero, count(*) FILTER (started = 1) started_equal_one, count(*) FILTER (started > 1) started_greater_than_one,
+  count(*) FILTER (started < 0) started_less_than_zero, min(started) minimum_started, max(started) maximum_started FROM lk GROUP BY symbol""")
+def started_audit(spark, sf):
+    return N.started_audit(_started(spark, sf), "symbol")
+
+
+@query(Q.rnd(Q.with_(*Q.BF) + """SELECT fold_id, count(*) events, count(DISTINCT d) dates, min(d) first_signal_date, max(d) last_signal_date, avg(meta_label) positive_fraction, min(score) minimum_raw_score, avg(score) mean_raw_score, max(score) maximum_raw_score,
+  CAST(count(*) FILTER (NOT isfinite(score)) AS BIGINT) nonfinite_scores, count(*) - count(DISTINCT event_id) duplicate_event_ids FROM mem WHERE "role" = 'validation' GROUP BY fold_id""", positive_fraction=6, minimum_raw_score=6, mean_raw_score=6, maximum_raw_score=6))
+def oof_audit(spark, sf):
+    return longs(rounded(N.oof_audit(V.oof(spark, sf))))
+
+
+@query(Q.with_(Q.BARS) + f"""SELECT symbol, p AS "partition", count(*) AS "rows", min(d) first_date, max(d) last_date FROM (SELECT *, {_PART} p FROM bars) WHERE p <> 'after' GROUP BY 1, 2""")
+def warm_up_history(spark, sf):
+    split = B.calendar_split(V.bars(spark, sf))
+    t = N.with_warm_up(split.filter("part <> 'after' and part = 'train'"), split.filter("part = 'unseen_test'"), B.Boundaries().test_end)
+    return t.groupBy("symbol", "partition").agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("first_date"), F.max("d").alias("last_date"))
+
+
+@query(Q.with_(Q.BARS, Q.PIVOTS) + """SELECT symbol, count(*) pivots, min(confirm - "pivot") least_lag, max(confirm - "pivot") greatest_lag, count(*) FILTER (confirm - "pivot" < 16) early FROM piv GROUP BY symbol""")
+def pivot_confirmation_audit(spark, sf):
+    return longs(Z.confirmation_audit(V.bars(spark, sf)))
+
+
+_FRAME_EMAS = {f"e{n}": n for n in sorted({*P.EMA_WINDOWS, 26})}
+_FRAME = Q.ema("fe", "bars", "symbol", "d", "c", _FRAME_EMAS) + """,
+mv AS (SELECT symbol, d, c - lag(c) OVER (PARTITION BY symbol ORDER BY d) m FROM bars),
+rs0 AS (SELECT symbol, d, CASE WHEN count(m) OVER w = 14 THEN avg(greatest(m, 0.0::DOUBLE)) OVER w END up, CASE WHEN count(m) OVER w = 14 THEN avg(greatest(-m, 0.0::DOUBLE)) OVER w END dn FROM mv WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 13 PRECEDING)),
+ff AS MATERIALIZED (SELECT b.symbol, b.d, """ + ", ".join(f"(b.c - e{n}) / b.c ema_{n}_distance" for n in P.EMA_WINDOWS) + """, CASE WHEN up + dn > 0 THEN (100.0::DOUBLE * up / (up + dn) - 50) / 50 END rsi_14_centered, (e12 - e26) / b.c macd_relative,
+  log_power_of_buy, log_volume_ratio_30, ho_buy_fraction, ho_sell_fraction, x_relative_strength_zscore, y_return_zscore, ln(1.0::DOUBLE + positive_rs_run_length) log_positive_rs_run_length, body_ratio, """ + ", ".join(P.MARKET_FEATURES) + """,
+  up_dist distance_above_confirmed_low_fraction, down_dist distance_below_confirmed_high_fraction,
+  CASE WHEN e60 IS NULL THEN NULL WHEN least(""" + ", ".join(f"e{n}" for n in P.SHORT_EMAS) + ") > greatest(" + ", ".join(f"e{n}" for n in P.LONG_EMAS) + ") THEN 'bullish' WHEN greatest(" + ", ".join(f"e{n}" for n in P.SHORT_EMAS) + ") < least(" + ", ".join(f"e{n}" for n in P.LONG_EMAS) + """) THEN 'bearish' ELSE 'mixed' END gmma_state
+  FROM bars b JOIN fe ON fe.symbol = b.symbol AND fe.d = b.d JOIN rs0 ON rs0.symbol = b.symbol AND rs0.d = b.d JOIN f4 ON f4.symbol = b.symbol AND f4.d = b.d JOIN zs ON zs.symbol = b.symbol AND zs.d = b.d LEFT JOIN market ON market.d = b.d)"""
+
+
+@query(Q.rnd(Q.with_(*Q.BL, Q.MARKET, _FLOW, _STOCK, Q.ZIGZAG, _FRAME) + "SELECT * FROM ff", **dict.fromkeys(P.NUMERIC_FEATURES, 5)))
+def model_feature_frame(spark, sf):
+    """All model features of every bar in one frame."""
+    bars, index = V.bars(spark, sf), V.index(spark, sf)
+    panel = P.with_indicators(Z.zigzag_state(bars)).join(P.raw_flow(V.table(spark, sf, "lineitem")), ["symbol", "d"]).join(F.broadcast(index.select("d", "index_close")), "d")
+    return rounded(P.with_market(P.stock_features(panel), P.market_regime(index)).select("symbol", "d", *P.MODEL_FEATURES), 5)
+
+
 # --- sets and audits --------------------------------------------------------------------------------------------------------------
 
 

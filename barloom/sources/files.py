@@ -95,3 +95,11 @@ def write_stage(df: DataFrame, path: str, *, by: list[str] | None = None, csv: b
 def append_trials(df: DataFrame, path: str) -> None:
     """Add finished trials to a study's table, so that a study can be resumed."""
     df.write.mode("append").parquet(path)
+
+
+def stored_trials(spark: SparkSession, path: str) -> DataFrame:
+    """Finished trials of a study's table; none if there is no table yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.parquet(path)
+    return spark.createDataFrame([], "trial long, params string, mean_auc double, min_auc double, std_auc double")
