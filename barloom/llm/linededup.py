@@ -93,6 +93,19 @@ def dropped_lines(docs: DataFrame, ws: Workspace, min_near_chars: int = MIN_NEAR
     return drop.select("doc_id", "pos", "h1")
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, wherever the optimizer puts the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _kept(lines: Column, gone: Column) -> Column:
+    """The lines that stay: those of `gone` (pos, h1; by place) that this text has part it into stretches, which are copied whole."""
+    here = lambda x: F.transform(F.filter(gone, lambda g: (g["pos"] < F.size(x)) & (F.xxhash64(F.trim(F.get(x, g["pos"]))) == g["h1"])), lambda g: g["pos"])
+    edges = lambda x: F.concat(F.array(F.lit(-1)), here(x), F.array(F.size(x)))
+    stretch = lambda x, e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.slice(x, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1) - 1))
+    return F.when(gone.isNull(), lines).otherwise(_let(lines, lambda x: _let(edges(x), lambda e: F.flatten(stretch(x, e)))))
+
+
 def dedup_lines(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
     """docs with text rebuilt from the lines it keeps, and n_lines, n_kept (blank lines are kept and counted).
 
@@ -105,13 +118,7 @@ def dedup_lines(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFr
     gone = dropped_lines(docs.select("doc_id", "text"), ws, min_near_chars).groupBy(F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_set(F.struct("pos", "h1"))).alias("gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
     both = docs.select(F.struct(*[column(c).alias(c) for c in keep]).alias("doc")).join(gone, F.col("doc.doc_id").eqNullSafe(F.col("gone_id")), "left")
-    both = both.select("doc", "gone", F.split(F.col("doc.text"), "\n").alias("parts"))
-    # Of the lines that go with this doc_id, those of this row: their places part the lines into stretches that stay.
-    line = lambda g: F.xxhash64(F.trim(F.get(F.col("parts"), g["pos"])))
-    here = F.transform(F.filter("gone", lambda g: (g["pos"] < F.size("parts")) & (line(g) == g["h1"])), lambda g: g["pos"])
-    both = both.select("doc", "parts", F.when(F.col("gone").isNotNull(), F.concat(F.array(F.lit(-1)), here, F.array(F.size("parts")))).alias("edges"))
-    stays = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda k: F.slice("parts", F.get(F.col("edges"), k - 1) + 2, F.get(F.col("edges"), k) - F.get(F.col("edges"), k - 1) - 1))
-    both = both.select("doc", "parts", F.when(F.col("edges").isNotNull(), F.flatten(stays)).otherwise(F.col("parts")).alias("kept_lines"))
+    both = both.select("doc", _kept(F.split(F.col("doc.text"), "\n"), F.col("gone")).alias("kept_lines"), F.size(F.split(F.col("doc.text"), "\n")).alias("n"))
     out = [F.when(F.col("doc.text").isNotNull(), F.array_join("kept_lines", "\n")).alias(c) if c == "text" else column(c, "doc").alias(c) for c in keep]
-    count = lambda x: F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
-    return both.select(*out, count("parts").alias("n_lines"), count("kept_lines").alias("n_kept"))
+    count = lambda x: F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(x).cast("long")
+    return both.select(*out, count(F.col("n")).alias("n_lines"), count(F.size("kept_lines")).alias("n_kept"))
