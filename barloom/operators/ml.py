@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import math
 import random
+import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -87,13 +89,33 @@ def fit_predict_fold(members: DataFrame, fold: int, kind: str, numeric: list[str
     return out.withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "features", *[f"{c}_{s}" for c in categorical for s in "iv"]), model
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the checkpoint folder: iterative fits then carry no lineage, and a lost executor costs none of it.
+
+    The folder is the session's spark.checkpoint.dir; a local session without one gets a temporary folder, any other is refused.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir") or (tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local") else None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def _fold_rows(members: DataFrame, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
+    used = ["fold_id", "role", "event_id", "symbol", "d", "event_end_date", "meta_label", "sample_weight", *numeric, *categorical]
+    return settled(members.filter(F.col("role").isin("train", "validation")).select(*dict.fromkeys(used)))
+
+
+def _each_fold(rows: DataFrame, folds: list[int], kind: str, numeric: list[str], categorical: list[str] = (), **params) -> DataFrame:
+    parts = [fit_predict_fold(rows, k, kind, numeric, categorical, **params)[0] for k in folds]
+    return reduce(DataFrame.unionByName, [p.select("fold_id", "event_id", "symbol", "d", "event_end_date", "meta_label", "p") for p in parts])
+
+
 def out_of_fold(members: DataFrame, folds: list[int], kind: str, numeric: list[str], categorical: list[str] = (), **params) -> DataFrame:
-    """Validation predictions of all folds, one below the other."""
-    out = None
-    for k in folds:
-        part = fit_predict_fold(members, k, kind, numeric, categorical, **params)[0].select("fold_id", "event_id", "symbol", "d", "event_end_date", "meta_label", "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Validation predictions of all folds, one below the other; all fits read one settled copy of the members."""
+    return _each_fold(_fold_rows(members, numeric, categorical), folds, kind, numeric, categorical, **params)
 
 
 SPACE = {"forest": {"numTrees": (20, 60), "maxDepth": (2, 4), "minInstancesPerNode": (1, 200)}, "gbt": {"maxIter": (10, 40), "maxDepth": (1, 3), "stepSize": (0.02, 0.3)}}
@@ -136,9 +158,10 @@ def search(members: DataFrame, folds: list[int], kind: str, numeric: list[str],
     if [r[0] for r in rows] != list(range(len(rows))):
         raise ValueError(f"{store} isn't one study: trials {[r[0] for r in rows]}")
     history = [(json.loads(r[1]), r[2]) for r in rows]
+    at_hand = _fold_rows(members, numeric, categorical) if len(rows) < trials else None
     for i in range(len(rows), trials):
         params = sample_trial(kind, history, seed)
-        oof = out_of_fold(members, folds, kind, numeric, categorical, **params)
+        oof = _each_fold(at_hand, folds, kind, numeric, categorical, **params)
         s = fold_auc_summary(classification_metrics(oof, "fold_id", label="meta_label").withColumn("m", F.lit(0)), "m").first()
         history.append((params, s.mean_auc))
         rows.append((i, json.dumps(params, sort_keys=True), s.mean_auc, s.min_auc, s.std_auc))
@@ -162,14 +185,17 @@ def calibrate(kind: str, train: DataFrame, apply: DataFrame, label: str = "meta_
 
 
 def expanding_calibration(oof: DataFrame, folds: list[int], kinds: tuple[str, ...] = ("identity", "platt", "isotonic")) -> DataFrame:
-    """Probability metrics of each method on each fold after the first, fitted on the folds before it."""
-    out = None
+    """Probability metrics of each method on each fold after the first, fitted on the folds before it; all of them in one aggregation.
+
+    oof is settled first, since each fit reads it.
+    """
+    rows = settled(oof.select("fold_id", "event_id", "meta_label", "p"))
+    parts = []
     for k in folds[1:]:
         for kind in kinds:
-            t = calibrate(kind, oof.filter(F.col("fold_id") < k), oof.filter(F.col("fold_id") == k))
-            m = probability_metrics(t.select("event_id", "meta_label", F.col("calibrated").alias("q")), label="meta_label", p="q").withColumn("fold_id", F.lit(k)).withColumn("method", F.lit(kind))
-            out = m if out is None else out.unionByName(m)
-    return out
+            t = calibrate(kind, rows.filter(F.col("fold_id") < k), rows.filter(F.col("fold_id") == k))
+            parts.append(t.select(F.lit(k).alias("fold_id"), F.lit(kind).alias("method"), "event_id", "meta_label", F.col("calibrated").alias("q")))
+    return probability_metrics(reduce(DataFrame.unionByName, parts), "fold_id", "method", label="meta_label", p="q")
 
 
 def calibration_summary(metrics: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -674,9 +674,7 @@ ff AS MATERIALIZED (SELECT b.symbol, b.d, """ + ", ".join(f"(b.c - e{n}) / b.c e
 @query(Q.rnd(Q.with_(*Q.BL, Q.MARKET, _FLOW, _STOCK, Q.ZIGZAG, _FRAME) + "SELECT * FROM ff", **dict.fromkeys(P.NUMERIC_FEATURES, 5)))
 def model_feature_frame(spark, sf):
     """All model features of every bar in one frame."""
-    bars, index = V.bars(spark, sf), V.index(spark, sf)
-    panel = P.with_indicators(Z.zigzag_state(bars)).join(P.raw_flow(V.table(spark, sf, "lineitem")), ["symbol", "d"]).join(F.broadcast(index.select("d", "index_close")), "d")
-    return rounded(P.with_market(P.stock_features(panel), P.market_regime(index)).select("symbol", "d", *P.MODEL_FEATURES), 5)
+    return rounded(V.feature_frame(spark, sf), 5)
 
 
 # --- sets and audits --------------------------------------------------------------------------------------------------------------

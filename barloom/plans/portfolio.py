@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from barloom.operators import backtest as T
 from barloom.operators import bars as B
+from barloom.operators import features as P
+from barloom.operators import folds as K
 from barloom.operators import governance as G
 from barloom.operators import metrics as M
 from barloom.operators import ml
@@ -128,20 +130,22 @@ def fingerprint(spark, sf):
 
 # --- models -----------------------------------------------------------------------------------------------------------------------
 
-_NUMERIC = ["x1", "x2", "x3"]
+_NUMERIC, _CATEGORICAL = list(P.NUMERIC_FEATURES), list(P.CATEGORICAL_FEATURES)
 #: All folds of K.build_folds.
 _FOLDS = [1, 2, 3, 4, 5]
 
 
 def _model_members(spark, sf):
-    """Fold members with three features: score, position within the half year, and holding-free return noise."""
+    """Training and validation rows of each fold with all model features; training rows weigh by their uniqueness within the fold."""
     t = V.members(spark, sf)
-    return t.withColumns({"x1": F.col("score"), "x2": (F.dayofyear("d") / 366.0), "x3": ((F.col("symbol") * 31 + F.col("pos")) % 101) / 101.0, "sample_weight": F.lit(1.0)})
+    train = K.average_uniqueness(t.filter("role = 'train'"), V.bars(spark, sf), ("fold_id",)).drop("average_uniqueness")
+    rows = train.unionByName(t.filter("role = 'validation'").withColumn("sample_weight", F.lit(1.0)))
+    return rows.join(V.feature_frame(spark, sf), ["symbol", "d"], "left")
 
 
 @query(Q.rnd(Q.with_(*Q.BF) + """, t AS (SELECT fold_id, avg(meta_label) p FROM mem WHERE "role" = 'train' GROUP BY 1) SELECT event_id, fold_id, p FROM mem JOIN t USING (fold_id) WHERE "role" = 'validation'""", p=6))
 def dummy_prior(spark, sf):
-    m = _model_members(spark, sf)
+    m = V.members(spark, sf)
     prior = m.filter("role = 'train'").groupBy("fold_id").agg(F.avg(F.col("meta_label").cast("double")).alias("p"))
     return longs(rounded(m.filter("role = 'validation'").join(F.broadcast(prior), "fold_id").select("event_id", "fold_id", "p")))
 
@@ -153,17 +157,17 @@ def weighted_class_ratio(spark, sf):
 
 @query()
 def logistic_baseline(spark, sf):
-    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "logistic", _NUMERIC).select("event_id", "fold_id", "meta_label", "p")
+    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "logistic", _NUMERIC, _CATEGORICAL).select("event_id", "fold_id", "meta_label", "p")
 
 
 @query()
 def forest_oof(spark, sf):
-    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "forest", _NUMERIC).select("event_id", "fold_id", "meta_label", "p")
+    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "forest", _NUMERIC, _CATEGORICAL).select("event_id", "fold_id", "meta_label", "p")
 
 
 @query()
 def gbt_oof(spark, sf):
-    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "gbt", _NUMERIC).select("event_id", "fold_id", "meta_label", "p")
+    return ml.out_of_fold(_model_members(spark, sf), _FOLDS, "gbt", _NUMERIC, _CATEGORICAL).select("event_id", "fold_id", "meta_label", "p")
 
 
 @query()

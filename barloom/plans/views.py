@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import bars as B
+from barloom.operators import features as P
 from barloom.operators import folds as K
 from barloom.operators import labeling as L
 from barloom.operators import zigzag as Z
@@ -70,3 +71,10 @@ def labeled_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.canonical_index(B.index_observations(bars(spark, sf_dir)))
+
+
+def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, d, all model features) of every bar."""
+    days = index(spark, sf_dir)
+    panel = P.with_indicators(Z.zigzag_state(bars(spark, sf_dir))).join(P.raw_flow(table(spark, sf_dir, "lineitem")), ["symbol", "d"]).join(F.broadcast(days.select("d", "index_close")), "d")
+    return P.with_market(P.stock_features(panel), P.market_regime(days)).select("symbol", "d", *P.MODEL_FEATURES)

@@ -21,7 +21,7 @@ def model_fit(spark, sf: str) -> float:
     members = portfolio._model_members(spark, sf).filter("fold_id = 1").cache()
     members.count()
     start = time.time()
-    ml.fit_predict_fold(members, 1, "gbt", portfolio._NUMERIC)[0].agg({"p": "max"}).collect()
+    ml.fit_predict_fold(members, 1, "gbt", portfolio._NUMERIC, portfolio._CATEGORICAL)[0].agg({"p": "max"}).collect()
     members.unpersist()
     return round(time.time() - start, 3)
 

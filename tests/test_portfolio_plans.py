@@ -18,7 +18,8 @@ def tables(spark, tmp_path_factory):
     path, r = tmp_path_factory.mktemp("tables"), random.Random(3)
     start = dt.datetime(1998, 1, 1)
     lines = [(s, start + dt.timedelta(days=i), float(r.randint(1, 50)), r.randint(0, 10) / 100, r.randint(0, 8) / 100) for s in (1, 2, 3) for i in range(0, 600, 3)]
-    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double").write.parquet(f"{path}/lineitem.parquet")
+    flags = F.substring(F.lit("RAN"), (F.col("l_quantity") % 3 + 1).cast("int"), F.lit(1)), F.substring(F.lit("OF"), (F.col("l_quantity") % 2 + 1).cast("int"), F.lit(1))
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double").withColumns({"l_returnflag": flags[0], "l_linestatus": flags[1]}).write.parquet(f"{path}/lineitem.parquet")
     orders = [(i % 12, 100_000.0 + 1_000 * i * i) for i in range(40)]
     spark.createDataFrame(orders, "o_custkey long, o_totalprice double").write.parquet(f"{path}/orders.parquet")
     return str(path)
@@ -96,3 +97,36 @@ def test_trades_against_the_rules(spark):
     reasons = {(r.decision, r.reason) for r in QUERIES["decision_breakdown"](spark, sf).collect()}
     assert ("accepted", None) in reasons and sum(d == "rejected" for d, _ in reasons) >= 2
     assert all((r.entry_constraint_violations, r.negative_cash_events, r.protected_lot_nonzero_planned_risk_events, r.closed) == (0, 0, 0, True) for r in QUERIES["portfolio_integrity"](spark, sf).collect())
+
+
+def test_calibration_metrics_are_those_of_each_fold_alone(spark):
+    rows = [(k, f"e{k}_{i}", (i * 7 + k) % 3 % 2, ((i * 37 + k * 11) % 101 + 0.5) / 102) for k in (1, 2, 3) for i in range(60)]
+    oof = spark.createDataFrame(rows, "fold_id int, event_id string, meta_label int, p double")
+    got = {(r.fold_id, r.method): r for r in portfolio.ml.expanding_calibration(oof, [1, 2, 3]).collect()}
+    assert set(got) == {(k, m) for k in (2, 3) for m in ("identity", "platt", "isotonic")}
+    for (k, method), r in got.items():
+        one = portfolio.ml.calibrate(method, oof.filter(F.col("fold_id") < k), oof.filter(F.col("fold_id") == k))
+        alone = portfolio.M.probability_metrics(one, label="meta_label", p="calibrated").first()
+        assert all(abs(r[c] - alone[c]) < 1e-9 for c in ("rows", "roc_auc", "log_loss", "brier_score", "ece"))
+
+
+def test_model_rows_hold_all_features_once(spark, tables):
+    rows = portfolio._model_members(spark, tables)
+    assert {*portfolio._NUMERIC, *portfolio._CATEGORICAL} <= set(rows.columns) and len(portfolio._NUMERIC + portfolio._CATEGORICAL) == 35
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold_id", "event_id").alias("u"), F.min("sample_weight").alias("w")).first()
+    assert n.n == n.u == portfolio.V.members(spark, tables).filter("role in ('train', 'validation')").count() and n.w > 0
+
+
+def test_settled_refuses_a_cluster_without_a_checkpoint_folder():
+    class Context:
+        master = "spark://elsewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    frame = type("Frame", (), {"sparkSession": type("Session", (), {"sparkContext": Context()})})
+    with pytest.raises(ValueError, match="checkpoint"):
+        portfolio.ml.settled(frame)
