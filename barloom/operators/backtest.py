@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from barloom.functions.exprs import by_symbol
 from barloom.operators.metrics import _div, trimmed_mean
+from barloom.operators.ml import settled
 
 
 @dataclass(frozen=True)
@@ -95,26 +100,65 @@ LEDGER_COLUMNS = tuple(part.split()[0] for part in _EVENT_FIELDS.split(","))
 
 
 class _Lot:
-    __slots__ = ("plan", "number", "q", "open", "price", "gross", "cash", "fee", "stop0", "stop", "goal", "even", "high", "pending", "active", "since", "mark", "risk0", "risk", "locked")
+    __slots__ = ("plan", "path", "number", "q", "open", "price", "gross", "cash", "fee", "stop0", "stop", "goal", "even", "high", "pending", "active", "since", "mark", "risk0", "risk", "locked")
+
+
+class NoPath(Exception):
+    """A plan was accepted whose bars didn't come along."""
+
+
+class Offers:
+    """The plans of an entry date by place (score falling, symbol, event_id); one is looked up when a portfolio comes to it.
+
+    look(i): the plan with bar, (open, adv) of its entry date or None, and path, date -> (position, open, high, low, last) up to its horizon.
+    """
+
+    def __init__(self, symbols: list, look: Callable[[int], dict]):
+        self.symbols, self._look, self._plans, self._places = symbols, look, {}, None
+
+    def plan(self, i: int) -> dict:
+        if i not in self._plans:
+            self._plans[i] = self._look(i)
+        return self._plans[i]
+
+    def next_of(self, held: set, i: int) -> int:
+        """The first place from i on whose symbol is held, or the end."""
+        if self._places is None:
+            self._places = {}
+            for k, symbol in enumerate(self.symbols):
+                self._places.setdefault(symbol, []).append(k)
+        return min((k for symbol in held for k in self._places.get(symbol, ()) if k >= i), default=len(self.symbols))
+
+
+_NO_OFFERS = Offers([], lambda i: {})
 
 
 class Portfolio:
-    """One scenario's portfolio, advanced a day at a time. Bars: {symbol: (date -> position, rows of open, high, low, last, adv)}."""
+    """One scenario's portfolio, advanced a day at a time; it holds the bars of its open lots and nothing else of the market.
+
+    out gets rows of the ledger, but rejected plans that follow each other for the same reason are one row of kind run: the places from low to high.
+    bars, for run alone: {symbol: (date -> position, rows of open, high, low, last, adv)}.
+    """
 
     def __init__(self, scenario: dict, bars: dict, rules: Rules):
         self.s, self.bars, self.rules = scenario, bars, rules
-        self.cash, self.lots, self.out, self.seq = float(scenario["initial_capital"]), [], [], 0
+        self.cash, self.lots, self.out, self.seq, self.last = float(scenario["initial_capital"]), [], [], 0, None
         self.violations = self.negative = self.protected = 0
         self.keep = (1 - scenario["slippage"]) * (1 - rules.costs.sell)
+        self.known = (0.0, self.cash, 0.0, 0.0)
 
     def emit(self, kind: str, d, **values) -> None:
         self.seq += 1
         self.out.append({"scenario_id": self.s["scenario_id"], "kind": kind, "seq": self.seq, "d": d, **values})
 
-    def bar(self, symbol, d):
-        dates, rows = self.bars[symbol]
-        at = dates.get(d)
-        return (None, None) if at is None else (at, rows[at])
+    def reject(self, d, low: int, high: int, reason: str) -> None:
+        """Places from low to below high."""
+        run = self.out[-1] if self.out else {}
+        if run.get("kind") == "run" and (run["d"], run["high"], run["reason"]) == (d, low - 1, reason):
+            run["high"] = high - 1
+        else:
+            self.out.append({"scenario_id": self.s["scenario_id"], "kind": "run", "seq": self.seq + 1, "d": d, "low": low, "high": high - 1, "reason": reason})
+        self.seq += high - low
 
     def revalue(self) -> tuple[float, float, float, float]:
         """Market value, equity, open risk at the stops and profit locked in by them."""
@@ -123,7 +167,8 @@ class Portfolio:
             net = lot.q * lot.stop * self.keep
             lot.risk, lot.locked = max(0.0, lot.cash - net), max(0.0, net - lot.cash)
             value, risk, locked = value + lot.q * lot.mark, risk + lot.risk, locked + lot.locked
-        return value, self.cash + value, risk, locked
+        self.known = value, self.cash + value, risk, locked
+        return self.known
 
     def sell(self, lot: _Lot, d, at: int, quote: float, reason: str) -> None:
         c = self.rules.costs
@@ -143,15 +188,13 @@ class Portfolio:
 
     def at_open(self, d) -> None:
         for lot in self.lots:
-            _, row = self.bar(lot.plan["symbol"], d)
-            if row is not None:
-                lot.mark = row[0]
+            if d in lot.path:
+                lot.mark = lot.path[d][1]
         fixed = self.s["exit_style"] == "fixed_take_profit"
         for lot in list(self.lots):
-            at, row = self.bar(lot.plan["symbol"], d)
-            if row is None or at < lot.plan["entry_position"]:
+            if d not in lot.path:
                 continue
-            first = row[0]
+            at, first, *_ = lot.path[d]
             if lot.pending:
                 lot.pending, lot.stop = False, max(lot.even, (1 - self.rules.exits.trailing) * lot.high)
                 if first <= lot.stop:
@@ -165,29 +208,44 @@ class Portfolio:
         self.revalue()
         self.protected += sum(lot.active and lot.risk > 1e-6 for lot in self.lots)
 
-    def enter(self, plan: dict, d, opened: int) -> bool:
+    def enter_all(self, d, offers: Offers) -> int:
+        """The day's plans in order; how many are bought. What no plan's own data can change is told for all places that it holds for."""
+        m, i, n, opened = self.rules.limits, 0, len(offers.symbols), 0
+        while i < n:
+            held = {lot.plan["symbol"] for lot in self.lots}
+            to = i + 1
+            if opened >= m.new_per_day:
+                why, to = "daily_entry_cap_reached", n
+            elif len(self.lots) >= m.lots:
+                why, to = "portfolio_lot_cap_reached", n
+            elif len(held) >= m.symbols and offers.symbols[i] not in held:
+                why, to = "distinct_symbol_cap_reached", offers.next_of(held, i)
+            else:
+                why = self.enter(offers.plan(i), d)
+            if why is None:
+                opened += 1
+            else:
+                self.reject(d, i, to, why)
+            i = to
+        return opened
+
+    def enter(self, plan: dict, d) -> str | None:
+        """Buys a lot of the plan, or tells why not."""
         m, x, slip = self.rules.limits, self.rules.exits, self.s["slippage"]
         own = [lot for lot in self.lots if lot.plan["symbol"] == plan["symbol"]]
-        held = {lot.plan["symbol"] for lot in self.lots}
         single = self.s["structure"] == "single_lot"
         per_symbol = 1 if single else m.lots_per_symbol
-        why, q = None, 0
-        if opened >= m.new_per_day:
-            why = "daily_entry_cap_reached"
-        elif len(self.lots) >= m.lots:
-            why = "portfolio_lot_cap_reached"
-        elif len(own) >= per_symbol:
-            why = "single_lot_symbol_already_open" if single else "symbol_lot_cap_reached"
-        elif plan["symbol"] not in held and len(held) >= m.symbols:
-            why = "distinct_symbol_cap_reached"
-        row = self.bar(plan["symbol"], d)[1] if why is None else None
-        if why is None:
-            why = "missing_entry_bar" if row is None else None if math.isfinite(row[0]) and row[0] > 0 else "invalid_next_open"
+        if len(own) >= per_symbol:
+            return "single_lot_symbol_already_open" if single else "symbol_lot_cap_reached"
+        if plan["bar"] is None:
+            return "missing_entry_bar"
+        first, adv = plan["bar"]
+        why = None if first is not None and math.isfinite(first) and first > 0 else "invalid_next_open"
         if why is None:
-            value, equity, risk_now, _ = self.revalue()
+            value, equity, risk_now, _ = self.known
             why = None if equity > 0 else "nonpositive_equity"
         if why is None:
-            price = row[0] * (1 + slip)
+            price = first * (1 + slip)
             cash_each, stop = price * (1 + self.rules.costs.buy), price * (1 - x.stop)
             risk_each = cash_each - stop * self.keep
             why = None if risk_each > 0 else "invalid_risk_per_share"
@@ -200,7 +258,6 @@ class Portfolio:
             gross_room, own_room = m.gross_exposure * equity - value, m.symbol_exposure * equity - sum(lot.q * lot.mark for lot in own)
             why = "gross_exposure_cap_reached" if gross_room <= 0 else "symbol_exposure_cap_reached" if own_room <= 0 else None
         if why is None:
-            adv = row[4]
             liquid = self.s["adv_fraction"] * adv if adv is not None and math.isfinite(adv) and adv > 0 else None
             why = "adv20_unavailable" if liquid is None else "liquidity_cap_reached" if liquid <= 0 else None
         if why is None:
@@ -209,18 +266,18 @@ class Portfolio:
             smallest = min(sizes, key=sizes.get)
             q = sizes[smallest]
             why = smallest if q < 1 else None
-        told = {"event_id": plan["event_id"], "symbol": plan["symbol"], "signal_date": plan["d"], "entry_date": plan["entry_date"], "score": plan["score"], "daily_rank": plan["daily_rank"]}
         if why is not None:
-            self.emit("decision", d, decision="rejected", reason=why, quantity=0, entry_risk=0.0, **told)
-            return False
+            return why
+        if plan["path"] is None:
+            raise NoPath
         lot = _Lot()
-        lot.plan, lot.number, lot.q, lot.open, lot.price = plan, max((o.number for o in own), default=0) + 1, q, row[0], price
+        lot.plan, lot.path, lot.number, lot.q, lot.open, lot.price = plan, plan["path"], max((o.number for o in own), default=0) + 1, q, first, price
         lot.gross = q * price
         lot.fee = lot.gross * self.rules.costs.buy
         lot.cash = lot.gross + lot.fee
         lot.stop0 = lot.stop = stop
         lot.goal = price * (1 + (x.target if self.s["exit_style"] == "fixed_take_profit" else x.activation))
-        lot.even, lot.high, lot.mark = lot.cash / q / self.keep, price, row[0]
+        lot.even, lot.high, lot.mark = lot.cash / q / self.keep, price, first
         lot.pending, lot.active, lot.since, lot.locked = False, False, None, 0.0
         lot.risk0 = lot.risk = q * risk_each
         self.cash -= lot.cash
@@ -234,16 +291,15 @@ class Portfolio:
             and after <= m.gross_exposure * equity + price and sum(o.q * o.mark for o in mine) <= m.symbol_exposure * equity + price and lot.gross <= liquid + price
         )
         self.violations += not kept
-        self.emit("decision", d, decision="accepted", quantity=q, entry_risk=lot.risk0, entry_price=price, entry_cash=lot.cash, lot_number=lot.number, **told)
-        return True
+        self.emit("decision", d, decision="accepted", quantity=q, entry_risk=lot.risk0, entry_price=price, entry_cash=lot.cash, lot_number=lot.number, **_told(plan))
+        return None
 
     def in_day(self, d) -> None:
         x, fixed = self.rules.exits, self.s["exit_style"] == "fixed_take_profit"
         for lot in list(self.lots):
-            at, row = self.bar(lot.plan["symbol"], d)
-            if row is None or at < lot.plan["entry_position"]:
+            if d not in lot.path:
                 continue
-            _, high, low, last, _ = row
+            at, _, high, low, last = lot.path[d]
             if low <= lot.stop:
                 self.sell(lot, d, at, lot.stop, "trailing_intraday_stop" if lot.active else "initial_intraday_stop")
                 continue
@@ -263,9 +319,8 @@ class Portfolio:
 
     def close_day(self, d, opened: int) -> None:
         for lot in self.lots:
-            _, row = self.bar(lot.plan["symbol"], d)
-            if row is not None:
-                lot.mark = row[3]
+            if d in lot.path:
+                lot.mark = lot.path[d][4]
         value, equity, risk, locked = self.revalue()
         by_value, by_risk = {}, {}
         for lot in self.lots:
@@ -273,57 +328,173 @@ class Portfolio:
             by_value[k], by_risk[k] = by_value.get(k, 0.0) + lot.q * lot.mark, by_risk.get(k, 0.0) + lot.risk
         self.emit("day", d, cash=self.cash, market_value=value, equity=equity, open_risk=risk, locked=locked, open_lots=len(self.lots), open_symbols=len(by_value), protected_lots=sum(lot.active for lot in self.lots), new_lots=opened, max_symbol_value=max(by_value.values(), default=0.0), max_symbol_risk=max(by_risk.values(), default=0.0))
 
+    def day(self, d, offers: Offers) -> None:
+        self.at_open(d)
+        opened = self.enter_all(d, offers)
+        self.in_day(d)
+        self.close_day(d, opened)
+        self.last = d
+
+    def end(self) -> None:
+        if self.lots:
+            raise ValueError(f"{self.s['scenario_id']}: {len(self.lots)} lots are open after the last horizon")
+        self.emit("integrity", self.last, constraint_violations=self.violations, negative_cash=self.negative, protected_risk=self.protected)
+
     def run(self, plans: list[dict]) -> list[dict]:
+        """The ledger of plans that are at hand, each rejected one in a row of its own."""
         if not plans:
             return self.out
         first, last = min(p["entry_date"] for p in plans), max(p["horizon_end_date"] for p in plans)
-        days = sorted({d for dates, _ in self.bars.values() for d in dates if first <= d <= last})
         by_day: dict = {}
         for p in sorted(plans, key=lambda p: (-p["score"], p["symbol"], p["event_id"])):
             by_day.setdefault(p["entry_date"], []).append(p)
-        for d in days:
-            self.at_open(d)
-            opened = 0
-            for p in by_day.get(d, ()):
-                opened += self.enter(p, d, opened)
-            self.in_day(d)
-            self.close_day(d, opened)
-        if self.lots:
-            raise ValueError(f"{self.s['scenario_id']}: {len(self.lots)} lots are open after the last horizon")
-        self.emit("integrity", days[-1] if days else None, constraint_violations=self.violations, negative_cash=self.negative, protected_risk=self.protected)
-        return self.out
-
 
-def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
+        def look(p: dict) -> dict:
+            dates, rows = self.bars[p["symbol"]]
+            at = dates.get(p["entry_date"])
+            path = {d: (k, *rows[k][:4]) for d, k in dates.items() if d >= p["entry_date"] and k <= p["signal_position"] + self.rules.exits.horizon}
+            return p | {"bar": None if at is None else (rows[at][0], rows[at][4]), "path": path}
+
+        for d in sorted({d for dates, _ in self.bars.values() for d in dates if first <= d <= last}):
+            own = by_day.get(d, [])
+            self.day(d, Offers([p["symbol"] for p in own], lambda i, own=own: look(own[i])))
+        self.end()
+        out = []
+        for row in self.out:
+            out += [row] if row["kind"] != "run" else [_rejected(row, i, by_day[row["d"]][i]) for i in range(row["low"], row["high"] + 1)]
+        return out
+
+
+def _told(plan: dict) -> dict:
+    return {"event_id": plan["event_id"], "symbol": plan["symbol"], "signal_date": plan["d"], "entry_date": plan["entry_date"], "score": plan["score"], "daily_rank": plan["daily_rank"]}
+
+
+def _rejected(run: dict, place: int, plan: dict) -> dict:
+    return {"scenario_id": run["scenario_id"], "kind": "decision", "seq": run["seq"] + place - run["low"], "d": run["d"], "decision": "rejected", "reason": run["reason"], "quantity": 0, "entry_risk": 0.0, **_told(plan)}
+
+
+_OUT_ROWS = 2000
+
+
+def _lanes(batches: Iterator, lanes: list[list[dict]], rules: Rules, schema) -> Iterator:
+    """Advances the portfolios of a lane side by side along its stream: for each day a row of place -1, and its plans by place."""
+    import pyarrow as pa
+
+    folios: list[Portfolio] = []
+    lane = day = None
+    rows: list[tuple] = []  # (batch, row, symbol) of the day's plans
+
+    def look(b, k: int) -> dict:
+        p = {c: b.column(c)[k].as_py() for c in ("event_id", "symbol", "d", "signal_position", "entry_date", "score", "daily_rank", "entry_open", "entry_adv", "has_bar", "path")}
+        path = p.pop("path")
+        return p | {"bar": (p["entry_open"], p["entry_adv"]) if p["has_bar"] else None, "path": None if path is None else {x["d"]: (x["pos"], x["o"], x["h"], x["l"], x["c"]) for x in path}}
+
+    def settle_day() -> None:
+        nonlocal rows
+        own, rows = rows, []
+        offers = Offers([symbol for *_, symbol in own], lambda i: look(*own[i][:2])) if own else _NO_OFFERS
+        for f in list(folios):
+            try:
+                f.day(day, offers)
+            except NoPath:
+                folios.remove(f)
+                short.append({"scenario_id": f.s["scenario_id"], "kind": "short"})
+
+    def taken(least: int) -> Iterator:
+        ready = [*short, *[r for f in folios for r in f.out]]
+        if len(ready) > least:
+            short.clear()
+            for f in folios:
+                f.out = []
+            for i in range(0, len(ready), _OUT_ROWS):
+                yield pa.RecordBatch.from_pylist(ready[i : i + _OUT_ROWS], schema=schema)
+
+    def finish() -> Iterator:
+        if day is not None:
+            settle_day()
+            for f in folios:
+                f.end()
+            yield from taken(0)
+
+    short: list[dict] = []
+    for b in batches:
+        symbols = b.column("symbol").to_pylist()
+        for k, (at, today, place) in enumerate(zip(b.column("lane").to_pylist(), b.column("day").to_pylist(), b.column("place").to_pylist())):
+            if at != lane:
+                yield from finish()
+                lane, day, folios = at, None, [Portfolio(s, {}, rules) for s in lanes[at]]
+            if today != day:
+                if day is not None:
+                    settle_day()
+                    yield from taken(_OUT_ROWS)
+                day = today
+            if place >= 0:
+                rows.append((b, k, symbols[k]))
+    yield from finish()
+
+
+_RUN_FIELDS = "low int, high int"
+
+
+def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rules = Rules(), near: int = 8) -> DataFrame:
     """The ledger of every scenario: rows of kind decision, trade, day and integrity, in LEDGER_COLUMNS.
 
-    Lots, cash and caps depend on each other in order, so a scenario is one group of one task; scenarios run side by side.
+    Lots, cash and caps depend on each other in order, so a scenario goes along all plans in one task; as many tasks as the session has
+    cores share the scenarios, and each streams one copy of the plans by day. Tasks hold the bars of open lots alone. The first `near`
+    plans of a day that may have an adv20_irr (20 bars before them), and later ones of the same symbols while their lots may be open, bring
+    their bars up to the horizon along; scenarios that buy another one are run again with more of them, and with all of them in the end.
+    Rejected plans leave Python as runs of places.
     plans: complete execution plans with score and daily_rank. bars: market histories, of which only symbols with plans are used.
+    scenarios, a few dozen rows, are collected; plans and what the tasks tell are settled in the checkpoint folder.
     """
-    needed = bars.join(plans.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "d", "pos", "adj_open", "adj_high", "adj_low", "adj_last_price", "adv20_irr")
-    grid = F.broadcast(scenarios)  # a few dozen rows
-    left = plans.filter("plan_error is null").select("event_id", "symbol", "d", "signal_position", "entry_date", "entry_position", "horizon_end_date", "score", "daily_rank").crossJoin(grid)
-    right = needed.crossJoin(F.broadcast(scenarios.select(F.col("scenario_id").alias("bar_scenario"))))
-
-    def run(key, plan_rows, bar_rows):
-        import pandas as pd
-
-        out: list[dict] = []
-        if len(plan_rows):
-            s = plan_rows.iloc[0]
-            scenario = {k: s[k] for k in ("scenario_id", "initial_capital", "slippage", "structure", "exit_style", "adv_fraction")}
-            histories = {}
-            for symbol, g in bar_rows.groupby("symbol"):
-                g = g.sort_values("pos")
-                rows = dict(zip(g["pos"].tolist(), zip(*(g[c].tolist() for c in ("adj_open", "adj_high", "adj_low", "adj_last_price", "adv20_irr")))))
-                histories[symbol] = (dict(zip(g["d"].tolist(), g["pos"].tolist())), rows)
-            out = Portfolio(scenario, histories, rules).run(plan_rows.to_dict("records"))
-        t = pd.DataFrame(out, columns=list(LEDGER_COLUMNS))
-        for c in ("d", "signal_date", "entry_date", "activation_date", "event_id", "reason", "decision", "trailing"):
-            t[c] = t[c].astype(object).where(t[c].notna(), None)
-        return t.astype({c: "Int64" for c in ("symbol", "lot_number", "exit_observation", "quantity", "daily_rank", "open_lots", "open_symbols", "protected_lots", "new_lots", "constraint_violations", "negative_cash", "protected_risk")})
-
-    return left.groupBy("scenario_id").cogroup(right.groupBy("bar_scenario")).applyInPandas(run, _EVENT_FIELDS)
+    spark = bars.sparkSession
+    fields = f"{_EVENT_FIELDS}, {_RUN_FIELDS}"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+    fine = F.col("plan_error").isNull()
+    order = Window.partitionBy(fine, "entry_date").orderBy(F.desc("score"), "symbol", "event_id")
+    every = settled(plans.select("event_id", "symbol", "d", "signal_position", "entry_date", "horizon_end_date", "score", "daily_rank", "plan_error", (F.row_number().over(order) - 1).alias("place"), F.count_if(F.col("entry_position") >= 20).over(order).alias("turn")))
+    own = every.filter(fine).drop("plan_error")
+    first, last = own.agg(F.min("entry_date"), F.max("horizon_end_date")).first()
+    if first is None:
+        return spark.createDataFrame([], _EVENT_FIELDS)
+    days = settled(bars.filter(F.col("d").between(F.lit(first), F.lit(last))).join(every.select("symbol").distinct(), "symbol", "left_semi").select(F.col("d").alias("day")).distinct())
+    bar = bars.select(F.col("symbol").alias("_symbol"), F.col("d").alias("_d"), "pos", F.col("adj_open").alias("o"), F.col("adj_high").alias("h"), F.col("adj_low").alias("l"), F.col("adj_last_price").alias("c"), "adv20_irr")
+
+    def told(grid: list[dict], near: int | None) -> DataFrame:
+        """What Python tells of the scenarios, of which those that came to a plan without bars have a row of kind short."""
+        n = min(len(grid), max(1, spark.sparkContext.defaultParallelism))
+        lanes = [grid[k::n] for k in range(n)]
+        keys = ["symbol", "entry_date", "place", "event_id", "d", "signal_position", "score", "daily_rank", "_near"]
+        w = Window.partitionBy("symbol").orderBy("signal_position")
+        since = F.max(F.when((F.col("turn") <= (near or 0)) & (F.col("signal_position") >= 19), F.col("signal_position"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        chain = F.sum(F.when(F.col("signal_position") - F.lag("signal_position").over(w) <= rules.exits.horizon, 0).otherwise(1)).over(w)
+        t = own.withColumn("_since", since).withColumn("_chain", chain)
+        t = t.withColumn("_near", F.lit(True) if near is None else F.coalesce(F.col("_since") >= F.min("signal_position").over(Window.partitionBy("symbol", "_chain")), F.lit(False)))
+        reach = (F.col("_d") >= F.col("entry_date")) & (F.col("pos") <= F.col("signal_position") + rules.exits.horizon)
+        t = t.join(bar, (F.col("symbol") == F.col("_symbol")) & reach & (F.col("_near") | (F.col("_d") == F.col("entry_date"))), "left")
+        at_entry = F.col("_d") == F.col("entry_date")
+        path = F.struct(F.col("_d").alias("d"), "pos", "o", "h", "l", "c")
+        t = t.groupBy(*keys).agg(F.max(F.when(at_entry, F.col("o"))).alias("entry_open"), F.max(F.when(at_entry, F.col("adv20_irr"))).alias("entry_adv"), F.coalesce(F.bool_or(at_entry), F.lit(False)).alias("has_bar"), F.collect_list(F.when(F.col("_d").isNotNull(), path)).alias("path"))
+        t = t.withColumn("path", F.when(F.col("_near"), F.col("path"))).drop("_near").withColumn("day", F.col("entry_date"))
+        rows = t.unionByName(days.withColumn("place", F.lit(-1)), allowMissingColumns=True).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        rows = rows.repartitionById(n, F.col("lane")).sortWithinPartitions("lane", "day", "place")
+        return settled(rows.mapInArrow(lambda batches: _lanes(batches, lanes, rules, schema), fields))
+
+    grid, parts = sorted((r.asDict() for r in scenarios.select("scenario_id", "initial_capital", "slippage", "structure", "exit_style", "adv_fraction").collect()), key=lambda r: r["scenario_id"]), []
+    while grid:
+        part = told(grid, near)
+        short = {r.scenario_id for r in part.filter("kind = 'short'").select("scenario_id").collect()}
+        parts.append(part.filter(~F.col("scenario_id").isin(*short)) if short else part)
+        grid, near = [r for r in grid if r["scenario_id"] in short], near * 8 if len(parts) < 3 else None
+    if not parts:
+        return spark.createDataFrame([], _EVENT_FIELDS)
+    out = reduce(DataFrame.unionByName, parts)
+    runs = out.filter("kind = 'run'").select("scenario_id", "seq", F.col("d").alias("_d"), "reason", "low", "high")
+    told_of = {"kind": F.lit("decision"), "seq": F.col("seq") + F.col("place") - F.col("low"), "d": F.col("entry_date"), "signal_date": F.col("d"), "quantity": F.lit(0).cast("long"), "entry_risk": F.lit(0.0), "decision": F.lit("rejected")}
+    rejected = own.select("entry_date", "place", "event_id", "symbol", "d", "score", "daily_rank").join(runs, (F.col("entry_date") == F.col("_d")) & F.col("place").between(F.col("low"), F.col("high")))
+    plain = {"scenario_id", "event_id", "symbol", "entry_date", "score", "daily_rank", "reason"}
+    rejected = rejected.select(*[(told_of[f.name] if f.name in told_of else F.col(f.name) if f.name in plain else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(_EVENT_FIELDS)])
+    return out.filter("kind <> 'run'").select(*LEDGER_COLUMNS).unionByName(rejected)
 
 
 def part_of(ledger: DataFrame, kind: str, columns: list[str]) -> DataFrame:

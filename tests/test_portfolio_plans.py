@@ -130,3 +130,54 @@ def test_settled_refuses_a_cluster_without_a_checkpoint_folder():
     frame = type("Frame", (), {"sparkSession": type("Session", (), {"sparkContext": Context()})})
     with pytest.raises(ValueError, match="checkpoint"):
         portfolio.ml.settled(frame)
+
+
+#: Queries whose simulation streams plans by day.
+STREAMED = ["portfolio_daily"]
+
+
+@pytest.mark.parametrize("name", STREAMED)
+def test_no_task_takes_a_market_for_each_scenario(spark, tables, name, capsys):
+    """A scenario was one group of all plans and all bars, and the bars were dealt out once for each scenario."""
+    QUERIES[name](spark, tables).explain()
+    plan = capsys.readouterr().out
+    assert "CoGroup" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_stream_of_plans_gives_the_ledger_of_the_rules(spark):
+    """The ledger from streams, with bars for all plans at once or after a second run, is that of Portfolio.run over the whole market."""
+    T, sf = portfolio.T, "/root/testdata/sf0.001"
+    bars = portfolio._history(spark, sf).filter("symbol < 8").cache()
+    plans = T.execution_plan(portfolio._signals(spark, sf).filter("symbol < 8"), bars).cache()
+    grid = portfolio._scenarios(spark, sf).filter("capital = 'median' and slippage in (0.0, 0.005)").cache()
+    market = {}
+    for b in bars.orderBy("symbol", "pos").collect():
+        dates, rows = market.setdefault(b.symbol, ({}, {}))
+        dates[b.d], rows[b.pos] = b.pos, (b.adj_open, b.adj_high, b.adj_low, b.adj_last_price, b.adv20_irr)
+    own = [p.asDict() for p in plans.filter("plan_error is null").collect()]
+    market = {s: market[s] for s in {p.symbol for p in plans.select("symbol").distinct().collect()}}
+    want = {(r["scenario_id"], r["seq"]): r for g in grid.collect() for r in T.Portfolio(g.asDict(), market, T.Rules()).run(own)}
+    assert {r["decision"] for r in want.values() if r["kind"] == "decision"} == {"accepted", "rejected"}
+    for near in (8, 0):
+        got = {(r.scenario_id, r.seq): {k: v for k, v in r.asDict().items() if v is not None} for r in T.simulate(grid, plans, bars, near=near).collect()}
+        assert got == {k: {c: v for c, v in r.items() if v is not None} for k, r in want.items()}
+
+
+def test_the_ledger_flows_while_plans_come(spark):
+    """Rows leave a task before its stream has ended, so that neither plans nor ledger gather in it."""
+    import pyarrow as pa
+
+    T, day = portfolio.T, dt.date(2000, 1, 1)
+    schema = T.to_arrow_schema(T.StructType.fromDDL(f"{T._EVENT_FIELDS}, {T._RUN_FIELDS}"))
+    came = []
+
+    def batches():
+        for k in range(50):
+            came.append(k)
+            days = [day + dt.timedelta(days=k * 100 + i) for i in range(100)]
+            yield pa.RecordBatch.from_pydict({"lane": pa.array([0] * 100, pa.int32()), "day": days, "place": pa.array([-1] * 100, pa.int32()), "symbol": pa.array([None] * 100, pa.int64())})
+
+    lanes = [[{"scenario_id": "s", "initial_capital": 1e6, "slippage": 0.0, "structure": "multi_lot", "exit_style": "trailing", "adv_fraction": 0.01}]]
+    out = T._lanes(batches(), lanes, T.Rules(), schema)
+    assert next(out).num_rows <= T._OUT_ROWS and len(came) < 50
+    assert T._OUT_ROWS < 5001 and sum(b.num_rows for b in out) + T._OUT_ROWS >= 5001
