@@ -133,7 +133,7 @@ def test_settled_refuses_a_cluster_without_a_checkpoint_folder():
 
 
 #: Queries whose simulation streams plans by day.
-STREAMED = ["portfolio_daily", "decision_breakdown", "portfolio_integrity", "portfolio_trades", "exit_reasons"]
+STREAMED = ["portfolio_daily", "decision_breakdown", "portfolio_integrity", "portfolio_trades", "exit_reasons", "portfolio_decisions"]
 
 
 @pytest.mark.parametrize("name", STREAMED)
