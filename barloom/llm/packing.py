@@ -8,7 +8,9 @@ of given lengths at given offsets. Every piece then finds its place from its ran
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from barloom.llm.work import Workspace, map_batches, session_of, worker_cache
 
 CAPACITY, END_ID = 4096, 1
+#: The tokenizer's words, as its file has them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
 #: Pieces of one length that one task ranks, about.
@@ -23,7 +27,7 @@ RANKED = 500_000
 
 
 class _Ids:
-    """Ids of texts, by chunks without white space, whose ids are remembered."""
+    """Ids of texts, from the distinct words of the tokenizer in them, whose ids are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -32,12 +36,55 @@ class _Ids:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Bytes of Latin-1 that may be normalised or split otherwise than by lower-casing and white space.
         self.odd = bytes([*range(9), 11, 12, *range(14, 32), *range(127, 161), 173])
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        #: Whether words are SPLIT's and end in ids of their own kind; texts of other tokenizers are encoded whole.
+        self.by_word = bool(suffix) and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])] == [SPLIT, None]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.by_word:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, from one text of them all: a call and an object for each cost more than its ids."""
+        raw = self.ids([" ".join(words)])[0]
+        at = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+        if len(at) != len(words) or at[-1:] != [len(raw)]:
+            return self.ids(words)
+        return [raw[a:b] for a, b in zip([0, *at], at)]
+
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        new = [w for w in words if w not in known]
+        for k in range(0, len(new), 4096):
+            known.update(zip(new[k : k + 4096], self.ids_apart(new[k : k + 4096])))
+        out = list(map(known.__getitem__, words))
+        if len(known) > CACHE_WORDS:  # what came first is mostly what is frequent; it stays
+            for w in new:
+                del known[w]
+        return out
+
+    def ids_of_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts are looked at as distinct chunks between white space, and these as distinct words."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        chunks, in_text, of_text = _distinct(pc.ascii_split_whitespace(pa.array(texts, pa.string())))
+        words, in_chunk, of_chunk = _distinct(pc.ascii_split_whitespace(pc.replace_substring_regex(chunks, SPLIT, r"\0 ")))
+        found = self.ids_of_words(words.to_pylist())
+        bounds = np.cumsum([0, *map(len, found)]) // 4
+        flat, bounds = _joined(np.frombuffer(b"".join(found), "<u4"), bounds, in_chunk, of_chunk)
+        flat, bounds = _joined(flat, bounds, in_text, of_text)
+        raw, at = flat.tobytes(), (4 * bounds).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def plain(self, text: str) -> bool:
         """Whether the tokenizer's normaliser only lower-cases the text and splits it at white space, so that chunks stand alone."""
+        if not self.by_word:
+            return False
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
@@ -45,18 +92,23 @@ class _Ids:
         return len(raw.translate(None, self.odd)) == len(raw) and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        chunks = [t.lower().split() if self.plain(t) else None for t in texts]
-        new = list(set().union(*[c for c in chunks if c is not None]).difference(known))
-        for k in range(0, len(new), 4096):
-            known.update(zip(new[k : k + 4096], self.ids(new[k : k + 4096])))
-        whole = dict(zip([i for i, c in enumerate(chunks) if c is None], self.ids([t for t, c in zip(texts, chunks) if c is None])))
-        get = known.__getitem__
-        out = [whole[i] if c is None else b"".join(map(get, c)) for i, c in enumerate(chunks)]
-        if len(known) > CACHE_WORDS:  # what came first is mostly what is frequent; it stays
-            for c in new:
-                del known[c]
-        return out
+        plain = [self.plain(t) for t in texts]
+        own, whole = iter(self.ids_of_plain([t.lower() for t, p in zip(texts, plain) if p])), iter(self.ids([t for t, p in zip(texts, plain) if not p]))
+        return [next(own if p else whole) for p in plain]
+
+
+def _distinct(rows) -> tuple:
+    """The distinct values of an array of lists, the place of each value among them, and the bounds of each list."""
+    found = rows.flatten().dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), rows.offsets.to_numpy()
+
+
+def _joined(flat: np.ndarray, bounds: np.ndarray, index: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of the parts flat[bounds[i] : bounds[i + 1]], i along index: their values one behind the other, and the bounds of each list."""
+    counts = np.diff(bounds)[index]
+    ends = np.cumsum(counts, dtype=np.int64)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[:-1][index] - (ends - counts), counts)
+    return flat[place], np.concatenate([[0], ends])[of]
 
 
 def _pieces(path: str, capacity: int):

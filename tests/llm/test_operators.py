@@ -189,6 +189,35 @@ def test_plan_holds_every_piece(seed):
     assert bins <= 1.25 * sum(n * k for n, k in hist.items()) / cap + max(hist.values()) * sum(3 * n > cap for n in hist) + 1
 
 
+def test_packing_ids_by_words():
+    """Ids put together from words are the tokenizer's own; a known word in another chunk asks the tokenizer for nothing."""
+    from barloom.llm import packing
+
+    ids, r, asked = packing._Ids(WORD_BPE), random.Random(7), []
+    letters = [*"abcxyzABCsSéÉßÿªµº×÷ÀÞ", "'s", "'RE", "'", "''", "0", "12", "²", "½", "!", ".", ",", "<", "/", ">", "\u00a0", "\u00ad", "\x85", "\x1c", "\x00", "日", "e\u0301", "</w>", "<|endoftext|>", " ", " ", "  ", "\n", "\t", "\r\n"]
+    texts = ["", " ", "\n\t", "a", " a ", *["".join(r.choices(letters, k=r.randint(1, 40))) for _ in range(2000)], *["".join(r.choices(letters[:29] + [" ", "\n"], k=60)) for _ in range(500)]]
+    want = [e.ids for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sum(map(ids.plain, texts)) > 500
+    for part in (slice(None), slice(5), slice(None, None, -1)):
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in ids.encode(texts[part])] == want[part]
+    assert ids.encode([]) == []
+    ids.encode(["wordalpha, Wordbeta. ( x ) !"])
+    ids.ids = lambda words, f=ids.ids: asked.extend(words) or f(words)
+    assert len(ids.encode(["(wordalpha) wordbeta, WORDALPHA! x."])) == 1 and not asked
+
+
+def test_packing_ids_of_another_tokenizer(tmp_path):
+    """A tokenizer that splits otherwise, here by white space and with capitals, isn't taken apart."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from barloom.llm import packing
+
+    other = Tokenizer(models.WordLevel({"Ab": 0, "ab": 1, "ab,": 2, "?": 3}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(path := str(tmp_path / "other.json"))
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in packing._Ids(path).encode(["Ab ab, ab", "x"])] == [[0, 2, 1], [3]]
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
