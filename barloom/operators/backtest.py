@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -436,9 +436,12 @@ def _lanes(batches: Iterator, lanes: list[list[dict]], rules: Rules, schema) ->
 _RUN_FIELDS = "low int, high int"
 
 
-def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rules = Rules(), near: int = 8) -> DataFrame:
+def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rules = Rules(), near: int = 8, counted: bool = False) -> DataFrame:
     """The ledger of every scenario: rows of kind decision, trade, day and integrity, in LEDGER_COLUMNS.
 
+    counted, for summaries: plans that are rejected one after the other for the same reason stay one row, without the columns of a single
+    plan, and `plans` is their number, 1 in any other row. Else each has its own row, and there are scenarios times plans of these.
+
     Lots, cash and caps depend on each other in order, so a scenario goes along all plans in one task; as many tasks as the session has
     cores share the scenarios, and each streams one copy of the plans by day. Tasks hold the bars of open lots alone. The first `near`
     plans of a day that may have an adv20_irr (20 bars before them), and later ones of the same symbols while their lots may be open, bring
@@ -448,7 +451,7 @@ def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rul
     scenarios, a few dozen rows, are collected; plans and what the tasks tell are settled in the checkpoint folder.
     """
     spark = bars.sparkSession
-    fields = f"{_EVENT_FIELDS}, {_RUN_FIELDS}"
+    fields, shape = f"{_EVENT_FIELDS}, {_RUN_FIELDS}", _EVENT_FIELDS + ", plans long" * counted
     schema = to_arrow_schema(StructType.fromDDL(fields))
     fine = F.col("plan_error").isNull()
     order = Window.partitionBy(fine, "entry_date").orderBy(F.desc("score"), "symbol", "event_id")
@@ -456,7 +459,7 @@ def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rul
     own = every.filter(fine).drop("plan_error")
     first, last = own.agg(F.min("entry_date"), F.max("horizon_end_date")).first()
     if first is None:
-        return spark.createDataFrame([], _EVENT_FIELDS)
+        return spark.createDataFrame([], shape)
     days = settled(bars.filter(F.col("d").between(F.lit(first), F.lit(last))).join(every.select("symbol").distinct(), "symbol", "left_semi").select(F.col("d").alias("day")).distinct())
     bar = bars.select(F.col("symbol").alias("_symbol"), F.col("d").alias("_d"), "pos", F.col("adj_open").alias("o"), F.col("adj_high").alias("h"), F.col("adj_low").alias("l"), F.col("adj_last_price").alias("c"), "adv20_irr")
 
@@ -487,8 +490,12 @@ def simulate(scenarios: DataFrame, plans: DataFrame, bars: DataFrame, rules: Rul
         parts.append(part.filter(~F.col("scenario_id").isin(*short)) if short else part)
         grid, near = [r for r in grid if r["scenario_id"] in short], near * 8 if len(parts) < 3 else None
     if not parts:
-        return spark.createDataFrame([], _EVENT_FIELDS)
+        return spark.createDataFrame([], shape)
     out = reduce(DataFrame.unionByName, parts)
+    if counted:
+        run = F.col("kind") == "run"
+        own_kind = {"kind": F.when(run, "decision").otherwise(F.col("kind")), "decision": F.when(run, "rejected").otherwise(F.col("decision"))}
+        return out.select(*[own_kind.get(c, F.col(c)).alias(c) for c in LEDGER_COLUMNS], F.when(run, F.col("high") - F.col("low") + 1).otherwise(1).cast("long").alias("plans"))
     runs = out.filter("kind = 'run'").select("scenario_id", "seq", F.col("d").alias("_d"), "reason", "low", "high")
     told_of = {"kind": F.lit("decision"), "seq": F.col("seq") + F.col("place") - F.col("low"), "d": F.col("entry_date"), "signal_date": F.col("d"), "quantity": F.lit(0).cast("long"), "entry_risk": F.lit(0.0), "decision": F.lit("rejected")}
     rejected = own.select("entry_date", "place", "event_id", "symbol", "d", "score", "daily_rank").join(runs, (F.col("entry_date") == F.col("_d")) & F.col("place").between(F.col("low"), F.col("high")))
@@ -501,9 +508,15 @@ def part_of(ledger: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     return ledger.filter(F.col("kind") == kind).select("scenario_id", *columns)
 
 
+def _decided(ledger: DataFrame, decision: str | None = None) -> Column:
+    """Number of plans decided on (so), from a ledger with a row for each or one that is counted."""
+    fine = F.col("kind") == "decision" if decision is None else F.col("decision") == decision
+    return F.sum(F.when(fine, F.col("plans") if "plans" in ledger.columns else F.lit(1)).otherwise(0))
+
+
 def decision_breakdown(ledger: DataFrame) -> DataFrame:
     """Decisions of each scenario by their reason; accepted ones have none."""
-    return ledger.filter("kind = 'decision'").groupBy("scenario_id", "decision", "reason").agg(F.count(F.lit(1)).alias("decisions"))
+    return ledger.filter("kind = 'decision'").groupBy("scenario_id", "decision", "reason").agg(_decided(ledger).alias("decisions"))
 
 
 def exit_breakdown(ledger: DataFrame, top: int = 15) -> DataFrame:
@@ -513,7 +526,7 @@ def exit_breakdown(ledger: DataFrame, top: int = 15) -> DataFrame:
 def portfolio_integrity(ledger: DataFrame) -> DataFrame:
     k = F.col("kind")
     return ledger.groupBy("scenario_id").agg(
-        F.count_if(k == "decision").alias("signals_decided"), F.count_if(F.col("decision") == "accepted").alias("accepted_signals"), F.count_if(F.col("decision") == "rejected").alias("rejected_signals"), F.count_if(k == "trade").alias("closed_trades"),
+        _decided(ledger).alias("signals_decided"), _decided(ledger, "accepted").alias("accepted_signals"), _decided(ledger, "rejected").alias("rejected_signals"), F.count_if(k == "trade").alias("closed_trades"),
         F.coalesce(F.sum("constraint_violations"), F.lit(0)).alias("entry_constraint_violations"), F.coalesce(F.sum("negative_cash"), F.lit(0)).alias("negative_cash_events"), F.coalesce(F.sum("protected_risk"), F.lit(0)).alias("protected_lot_nonzero_planned_risk_events"),
     )
 
@@ -535,7 +548,7 @@ def performance(ledger: DataFrame, scenarios: DataFrame) -> DataFrame:
         F.avg("exit_observation").alias("mean_holding_observations"), F.avg(F.date_diff("d", "entry_date")).alias("mean_calendar_holding_days"), F.count_if("trailing").alias("trailing_activated_trades"),
         F.sum("buy_fee").alias("total_buy_fees"), F.sum("sell_tax").alias("total_sell_tax"), F.sum("sell_other_fee").alias("total_sell_non_tax_fees"), F.sum("buy_slippage").alias("total_buy_slippage"), F.sum("sell_slippage").alias("total_sell_slippage"),
     )
-    decided = ledger.filter("kind = 'decision'").groupBy("scenario_id").agg(F.count(F.lit(1)).alias("selected_signals"), F.count_if(F.col("decision") == "accepted").alias("accepted_signals"), F.count_if(F.col("decision") == "rejected").alias("rejected_signals"))
+    decided = ledger.filter("kind = 'decision'").groupBy("scenario_id").agg(_decided(ledger).alias("selected_signals"), _decided(ledger, "accepted").alias("accepted_signals"), _decided(ledger, "rejected").alias("rejected_signals"))
     t = scenarios.select("scenario_id", "is_primary", "initial_capital", "slippage", "structure", "exit_style").join(days, "scenario_id").join(trades, "scenario_id", "left").join(decided, "scenario_id", "left")
     span = F.greatest(F.lit(1), F.date_diff("last_execution_date", "first_execution_date"))
     t = t.withColumn("calendar_days", span).withColumn("total_return", F.col("final_equity") / F.col("initial_capital") - 1.0).withColumn("cagr", F.pow(F.col("final_equity") / F.col("initial_capital"), 365.2425 / F.col("calendar_days")) - 1.0)

@@ -144,6 +144,20 @@ def test_no_task_takes_a_market_for_each_scenario(spark, tables, name, capsys):
     assert "CoGroup" not in plan and "adv20_irr" not in plan
 
 
+@pytest.mark.parametrize("name", ["decision_breakdown"])
+def test_summaries_count_rejected_plans_without_a_row_for_each(spark, tables, name, capsys, monkeypatch):
+    """Their plans joined each rejected plan to its run, scenarios times plans of them, to count them."""
+    got = QUERIES[name](spark, tables)
+    got.explain()
+    assert "place#" not in capsys.readouterr().out
+    simulate = portfolio.T.simulate
+    monkeypatch.setattr(portfolio.T, "simulate", lambda *a, counted: simulate(*a))
+    want = QUERIES[name](spark, tables)
+    assert got.dtypes == want.dtypes
+    told = lambda df: sorted(map(repr, df.collect()))
+    assert told(got) == told(want)
+
+
 def test_stream_of_plans_gives_the_ledger_of_the_rules(spark):
     """The ledger from streams, with bars for all plans at once or after a second run, is that of Portfolio.run over the whole market."""
     T, sf = portfolio.T, "/root/testdata/sf0.001"
