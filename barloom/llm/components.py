@@ -27,3 +27,18 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
         if not changed:
             ws.drop(both)
             return labels.select("node", "comp")
+
+
+def merged(comps: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
+    """comps(node, comp), as connected_components() returns them, with edges(src, dst: long) added to what they come from.
+
+    Only edges between components are followed, as edges of their smallest nodes; a node that comps lacks is a component.
+    """
+    at = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
+    ends = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    between = ws.stash(ends.select(F.coalesce("src_comp", "src").alias("src"), F.coalesce("dst_comp", "dst").alias("dst")).filter("src <> dst"))
+    if between.isEmpty():
+        return comps
+    low = ws.stash(connected_components(between, ws))
+    moved = comps.join(low.select(F.col("node").alias("comp"), F.col("comp").alias("low")), "comp", "left").select("node", F.coalesce("low", "comp").alias("comp"))
+    return moved.unionByName(low.join(comps, "node", "left_anti").select("node", "comp"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.work import map_batches, session_of
+from barloom.llm.work import forget_others, map_batches, session_of, trim
 
 #: Length of a profile, of a language and of a document.
 PROFILE = 400
@@ -143,10 +143,12 @@ def _keep_determined(profiles: dict[str, list[int]], text_at: int):
         import pyarrow as pa
 
         predict = _predict(profiles)()
+        forget_others()
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             _, _, pred, _ = predict(texts, texts, texts)
             yield batch.filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+        trim()
 
     return run
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.components import connected_components
+from barloom.llm.components import connected_components, merged
 from barloom.llm.words import WordHashes, hashes_of, mix, odd_numbers, shingle_set, words_of
 from barloom.llm.work import Workspace, map_batches, session_of
 
@@ -145,12 +145,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = tested.filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
     comps = connected_components(linked, ws)
     more = ws.stash(_undecided(members, tested, comps, nodes, docs, ws))
-    again = _verified(more, nodes, docs, ws).filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    again = more.select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    if not more.isEmpty():
+        again = _verified(more, nodes, docs, ws).filter(f"{PERCENT_OF} * both >= {PERCENT} * any").select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
     owner = full.select("doc_id", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"])
     split = owner.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("top")).filter("src < top").select("doc_id", "src")
     same_id = owner.join(split, "doc_id").select("src", F.col("node").alias("dst"))
-    comps = connected_components(linked.unionByName(again).unionByName(same_id), ws)
+    comps = merged(comps, again.unionByName(same_id), ws)
     named = nodes.select("node", "hi", "lo", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     class_of = ws.stash(named.join(low, "comp").select("hi", "lo", "component_id"))

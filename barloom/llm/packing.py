@@ -218,6 +218,13 @@ def _slots(runs: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, ...
     return out
 
 
+def _slot_table(slots: list[tuple[int, ...]]):
+    import pyarrow as pa
+
+    names = ("slot_length", "low", "high", "count", "sequence", "at")
+    return pa.table({n: pa.array([x[i] for x in slots], pa.int64()) for i, n in enumerate(names)})
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of docs(doc_id, text).
 
@@ -236,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(plan(histogram, capacity))
     stride = max(256, total >> 18)  # ranks that share a key of the join below, so that it has at most some 2**18 keys besides the slots
-    table = spark.createDataFrame(slots, "slot_length long, low long, high long, count long, sequence long, at long")
+    table = spark.createDataFrame(_slot_table(slots))  # from rows, Spark would start Python workers for it
     table = table.withColumn("block", F.explode(F.sequence(F.expr(f"low div {stride}"), F.expr(f"(high - 1) div {stride}"))))
     before = counts.select("length", "salt", F.coalesce(F.expr("sum(n) over (partition by length order by salt rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("before"))
     ranked = pieces.withColumn("nth", F.expr("row_number() over (partition by length, salt order by doc_id, piece, ids_crc32)") - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +38,43 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim() -> None:
+    """Give the system back what this process has freed; Arrow and the C library keep it otherwise, also in an idle worker."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+        release(0)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """trim() for the driver's JVM, whose compilers free hundreds of MB that the C library keeps; whether this JVM can do it."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named, lang = jvm.java.lang.Class.forName, jvm.java.lang
+
+    def array(of, *values):
+        out = new(of, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    kinds = array(lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    call = named("javax.management.MBeanServer").getMethod("invoke", kinds)  # by the interface: the server's own class is closed to Py4J
+    bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        call.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, bean, "systemTrimNativeHeap", array(lang.Object), array(lang.String)))
+    except Py4JJavaError:  # it has no such command
+        return False
+    return True
+
+
 class Workspace:
     """Tables written under the shared folder, so that a lost executor costs no more than the stage it was in.
 
-    They stay until drop() or the end of the driver, since the returned DataFrames read them lazily.
+    They stay until drop() or the end of the driver, since the returned DataFrames read them lazily. After each of them the
+    driver gives back what it has freed.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -53,6 +87,7 @@ class Workspace:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        trim_driver(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -78,7 +113,8 @@ def column(name: str, of: str = "") -> Column:
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """Arrow batches of df through make()(*columns as lists), which returns the columns of schema, each a list or an array.
 
-    make() runs once in each task, so what it builds (a cache, a tokenizer) serves all batches of the task.
+    make() runs once in each task, so what it builds (a cache, a tokenizer) serves all batches of the task; then it goes, and
+    its memory with it, but for what worker_cache() holds.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -88,20 +124,40 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        def results():
+            for batch in batches:
+                columns = f(*[c.to_pylist() for c in batch.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, shape)], schema=shape)
+
         f = make()
-        for batch in batches:
-            columns = f(*[c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, shape)], schema=shape)
+        forget_others()
+        yield from results()
+        f = None
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
 def worker_cache(name: str, make):
-    """What make() built first in this Python process: later tasks of the same worker go on with it."""
-    import sys
-    import types
-
-    held = sys.modules.setdefault("_barloom_worker", types.ModuleType("_barloom_worker")).__dict__
+    """What make() built first in this Python process: later tasks of the same worker go on with it, until one doesn't ask for it."""
+    held, asked = _held()
+    asked.add(name)
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+def forget_others() -> None:
+    """Drop what worker_cache() holds but this task hasn't asked for: a worker outlives its stage and goes on with other ones."""
+    held, asked = _held()
+    for name in held.keys() - asked:
+        del held[name]
+    asked.clear()
+
+
+def _held() -> tuple[dict, set]:
+    import sys
+    import types
+
+    module = sys.modules.setdefault("_barloom_worker", types.ModuleType("_barloom_worker"))
+    return module.__dict__.setdefault("held", {}), module.__dict__.setdefault("asked", set())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barloom.llm import brown, chat, pii
 from barloom.llm.boosting import fit_boosted
 from barloom.llm.brown import class_model_scores
-from barloom.llm.components import connected_components
+from barloom.llm.components import connected_components, merged
 from barloom.llm.decontaminate import contamination
 from barloom.llm.langid import drop_undetermined, language_of
 from barloom.llm.linededup import dedup_lines
@@ -24,7 +24,7 @@ from barloom.llm.packing import pack, plan
 from barloom.llm.quality import quality_scores
 from barloom.llm.queries import WORD_BPE
 from barloom.llm.topk import top_k
-from barloom.llm.work import Workspace
+from barloom.llm.work import Workspace, map_batches, trim_driver, worker_cache
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, comp long"
 
@@ -89,6 +89,42 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 200: 100}
 
 
+def test_components_with_further_edges(spark):
+    ws, kinds = Workspace(spark, "t"), "src long, dst long"
+    edges, more = [(1, 2), (3, 4), (4, 5), (8, 9)], [(5, 2), (2, 1), (9, 20), (30, 31), (6, 6)]
+    comps = connected_components(spark.createDataFrame(edges, kinds), ws)
+    got = {r.node: r.comp for r in merged(comps, spark.createDataFrame(more, kinds), ws).collect()}
+    assert got == {**dict.fromkeys(range(1, 6), 1), 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+    assert merged(comps, spark.createDataFrame([(2, 1)], kinds), ws).count() == 7
+
+
+def test_memory_is_given_back(spark):
+    """A pipeline's stages share workers and the driver: what a stage has built goes when another one runs."""
+    import pyarrow as pa
+
+    class Here:
+        """A table of one batch, whose tasks run in this process."""
+
+        @staticmethod
+        def mapInArrow(run, schema):  # noqa: N802
+            return [x for b in run([pa.record_batch({"i": list(range(8))})]) for x in b.column(0).to_pylist()]
+
+    def keeps():
+        held = worker_cache("large", lambda: [0])
+
+        def run(i):
+            held[0] += len(i)
+            return ([held[0]] * len(i),)
+
+        return run
+
+    for want in (8, 16):  # later tasks of the same stage go on with it
+        assert set(map_batches(Here, keeps, "n long")) == {want}
+    assert map_batches(Here, lambda: lambda i: (i,), "n long") == list(range(8))
+    assert set(map_batches(Here, keeps, "n long")) == {8}
+    assert trim_driver(spark)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
